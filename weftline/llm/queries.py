@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import simhash_dedup
+from weftline.llm import itq_dedup, simhash_dedup
 from weftline.llm.common import table
 
 
+def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.itq_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_itq_near_dedup, op4_simhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
