@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import itq_dedup, simhash_dedup
-from weftline.llm.common import table
+from weftline.llm import itq_dedup, packing, simhash_dedup
+from weftline.llm.common import table, vocabulary
+
+ORACLES: dict[str, str] = {}
 
 
 def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +21,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_itq_near_dedup, op4_simhash_near_dedup,)}
+    own = [f for name, f in globals().items() if re.match(r"op\d+_", name)]
+    return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
