@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import itq_dedup, packing, simhash_dedup
+from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,41 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_quality.host_quality(table(spark, sf_dir, "documents"))
+    return found.drop("host_rate")
+
+
+ORACLES["op6_host_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM pos),
+twin AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+          FROM twin, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        10 * n_symbols > 3 * word_chars OR n_dup_lines * 20 > n_words AS soft_failed FROM m),
+h AS (SELECT source, count(*) AS docs, sum((base_failed OR soft_failed)::INT) AS failed FROM f GROUP BY source),
+p AS (SELECT least(greatest(avg(failed / docs), 1e-6), 1 - 1e-6) AS m, var_pop(failed / docs) AS v, avg(1 / docs) AS inv FROM h),
+q AS (SELECT m, CASE WHEN v - m * (1 - m) * inv > 0
+        THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 2.0), 1e4) ELSE 1e4 END AS s FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (h.failed + m * s) / (h.docs + s) <= 0.5 AS kept
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in globals().items() if re.match(r"op\d+_", name)]
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
