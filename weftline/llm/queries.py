@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup
+from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup, warc_zstd
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,21 @@ FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, q
 """
 
 
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_warc_dictionary"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+c AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
+FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in globals().items() if re.match(r"op\d+_", name)]
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
