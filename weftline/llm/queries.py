@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup, token_files, warc_zstd
+from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup, token_files, toxicity, warc_zstd
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
 
 
+def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.itq_near_dedup(table(spark, sf_dir, "embeddings"))
 
