@@ -68,7 +68,7 @@ class OrdinalModel:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, share: np.ndarray, features: int,
-    penalty: float = 2e-4, rounds: int = 400,
+    penalty: float = 5e-5, rounds: int = 600,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient; ``share`` weighs the rows."""
     n, top = len(grades), int(grades.max())
