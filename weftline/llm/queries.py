@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup, token_files, toxicity, warc_zstd
+from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup, suffix_tree_lm, token_files, toxicity, warc_zstd
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,10 @@ FROM c
 """
 
 
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), suffix_tree_lm.every_fifth())
+
+
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
