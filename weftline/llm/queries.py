@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import host_quality, itq_dedup, packing, simhash_dedup, suffix_tree_lm, token_files, toxicity, warc_zstd
+from weftline.llm import host_quality, itq_dedup, packing, piece_transducer, simhash_dedup, suffix_tree_lm, token_files, toxicity, warc_zstd
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,10 @@ def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in globals().items() if re.match(r"op\d+_", name)]
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
