@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import host_quality, itq_dedup, packing, piece_transducer, simhash_dedup, suffix_tree_lm, token_files, toxicity, warc_zstd
+from weftline.llm import host_quality, itq_dedup, license_scan, packing, piece_transducer, simhash_dedup, suffix_tree_lm, token_files, toxicity, warc_zstd
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,13 @@ def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.itq_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_license_scan"] = license_scan.oracle()
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
