@@ -60,26 +60,34 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     )
 
 
+def measures(text: Column) -> Column:
+    """The five counts of a text as one struct. Everything hangs on one expression, so that a
+    filter on it can be pushed to the scan without splitting the text again and again."""
+
+    def counted(words: Column) -> Column:
+        lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+        )
+
+    trimmed = F.btrim(text, F.lit(SPACE))
+    words = let(trimmed, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"[ \t-\r]+")))
+    return let(words, counted)
+
+
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry`` columns with the five counts of every whole text."""
-    text = text_column(docs)
-    rows = docs.select(*carry, text.alias("_text"), F.btrim(text, F.lit(SPACE)).alias("_trim"))
-    rows = rows.select(
-        *carry, "_text", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", r"[ \t-\r]+")).alias("_words")
-    )
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
-    return rows.select(
-        *carry,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-    )
+    rows = docs.select(*carry, measures(text_column(docs)).alias("_m"))
+    return rows.select(*carry, *(F.col("_m").getField(c).alias(c) for c in COUNTS))
 
 
-def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+def base_failed(of=F.col, min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """``of`` gives a count by its name."""
+    return (of("n_words") < min_words) | (100 * of("n_repeat_words") > max_repeat_percent * of("n_words"))
 
 
 def soft_failed() -> Column:
@@ -99,11 +107,12 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return m * strength, (1 - m) * strength
 
 
-def verdicts(measures: DataFrame, host: str, max_rate: float) -> DataFrame:
+def verdicts(counts: DataFrame, host: str, max_rate: float) -> DataFrame:
     """``(_host, host_rate, host_ok)`` of every host."""
-    hosts = measures.groupBy(F.col(host).alias("_host")).agg(
+    hosts = counts.groupBy(F.col(host).alias("_host")).agg(
         F.count("*").alias("docs"), F.sum(F.when(base_failed() | soft_failed(), 1).otherwise(0)).alias("failed")
     )
+    hosts = materialise(hosts, "quality-hosts")
     a, b = beta_prior(hosts)
     rate = (F.col("failed") + F.lit(a)) / (F.col("docs") + F.lit(a + b))
     return hosts.select("_host", rate.alias("host_rate"), (rate <= max_rate).alias("host_ok"))
@@ -125,7 +134,7 @@ def quality_filter(docs: DataFrame, host: str = "source", max_rate: float = 0.5)
     keys = docs.select(F.col(host).alias("host"), "text")
     counts = measured(keys, ["host"])
     found = verdicts(counts, "host", max_rate).where(~F.col("host_ok")).select("_host")
-    tagged = measured(docs.select(F.struct(*columns).alias("_row"), F.col("text")), ["_row"])
-    kept = tagged.where(~base_failed()).select("_row")
+    failed = let(measures(text_column(docs)), lambda m: base_failed(m.getField))
+    kept = docs.withColumn("_row", F.struct(*columns)).where(~failed).select("_row")
     kept = kept.join(found, F.col(f"_row.{host}").eqNullSafe(F.col("_host")), "left_anti")
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in columns))
