@@ -460,7 +460,7 @@ def l2_batch_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT workers, ratio, least(greatest(2 * 8, ceil(workers * greatest(1.0, ratio) * 1.5)), greatest(16, ceil(workers * greatest(1.0, ratio) * 1.5)))::BIGINT AS depth
-FROM (SELECT unnest([1, 2, 4, 8, 16, 64])::BIGINT AS workers), (SELECT unnest([0.5, 1.0, 2.5, 7.75]) AS ratio)""")
+FROM (SELECT unnest([1, 2, 4, 8, 16, 64])::BIGINT AS workers), (SELECT unnest([0.5, 1.0, 2.5, 7.75])::DOUBLE AS ratio)""")
 def l3_frontier_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(w, r, stats.frontier_depth(8, w, ratio=r)) for w in (1, 2, 4, 8, 16, 64) for r in (0.5, 1.0, 2.5, 7.75)]
     return spark.createDataFrame(rows, "workers long, ratio double, depth long")
@@ -475,7 +475,7 @@ def m2_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m1_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width decisions of each user's event stream taken as deliveries."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros("ts") * 1000).alias("now_ns"), (F.col("event_type") == "error").alias("stalled"), "value")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("now_ns"), (F.col("event_type") == "error").alias("stalled"), "value")
     schema = "user_id long, event_id long, previous_width long, width long, reason string, starvation boolean, binding string, loss double"
 
     def step(machine, row):
