@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import components, materialise
 
 PART_BITS = 16
+OWN = 2  # the side of a block that meets itself
 
 
 def fit_itq(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +91,12 @@ def forest(ids: np.ndarray, near: np.ndarray) -> np.ndarray:
 
 
 def rerank(cells: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """``(head, linked, root)`` sums from rows sorted by ``pair``; side 0 meets side 1, or
-    itself where a pair has no side 1."""
+    """``(head, linked, root)`` sums from rows sorted by ``pair``; side 0 meets side 1, and a
+    block of side OWN meets itself."""
 
     def one(side: np.ndarray, heads: np.ndarray, copies: np.ndarray, x: np.ndarray):
         a, b = side == 0, side == 1
-        if not b.any():
+        if side[0] == OWN:
             near = block_links(x, None, threshold)
         else:
             near = np.zeros((len(x), len(x)), bool)
@@ -213,7 +214,7 @@ def itq_near_dedup(
     twin = F.col("a").eqNullSafe(F.col("b")) & (F.col("i") == F.col("j"))
     posted = dealt.select(
         "label", "dim", "pair", F.explode(
-            F.when(twin, F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("code"), F.col("i").alias("block"))))
+            F.when(twin, F.array(F.struct(F.lit(OWN).alias("side"), F.col("a").alias("code"), F.col("i").alias("block"))))
             .otherwise(F.array(
                 F.struct(F.lit(0).alias("side"), F.col("a").alias("code"), F.col("i").alias("block")),
                 F.struct(F.lit(1).alias("side"), F.col("b").alias("code"), F.col("j").alias("block")),
