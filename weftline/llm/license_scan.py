@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_column
+from weftline.llm.host_quality import let
 
 # The wording of public licences and of the notices that name them.
 TEMPLATES = {
@@ -109,27 +110,36 @@ def template_rows(templates: dict[str, str], min_dice: float) -> list[tuple]:
     return rows
 
 
-def bigrams(words: Column) -> Column:
+def bigrams(passage: Column) -> Column:
+    """Bigrams of a normalised passage, which is split once and not for each word."""
+    return let(F.split(passage, " "), _bigrams)
+
+
+def _bigrams(words: Column) -> Column:
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
 
 
 def passages(docs: DataFrame, least: int, most: int) -> DataFrame:
     """``doc_id, kind, place, passage`` of the passages with a number of bigrams in reach."""
     text = text_column(docs)
+    # Each list is bound once by ``let``: a plain alias may be copied into what uses it.
     plain = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.btrim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("_lines"))
-    blocks = F.split(F.btrim(F.array_join("_lines", "\n"), F.lit("\n")), "\n\n+")
-
     def unit(kind: str, place: Column, x: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place"), x.alias("passage"))
 
-    rows = rows.select("doc_id", "_lines", blocks.alias("_blocks"))
-    found = F.concat(
-        F.transform("_lines", lambda x, i: unit("line", i, x)),
-        F.filter(F.transform("_blocks", lambda x, i: unit("block", i, x)), lambda u: u["passage"].contains("\n")),
-        F.when(F.size("_blocks") > 1, F.array(unit("text", F.lit(0), F.array_join("_blocks", "\n")))).otherwise(F.array().cast("array<struct<kind:string,place:bigint,passage:string>>")),
-    )
-    units = rows.select("doc_id", F.explode(found).alias("u")).select("doc_id", "u.kind", "u.place", F.translate("u.passage", "\n", " ").alias("passage"))
+    def found(lines: Column, blocks: Column) -> Column:
+        return F.concat(
+            F.transform(lines, lambda x, i: unit("line", i, x)),
+            F.filter(F.transform(blocks, lambda x, i: unit("block", i, x)), lambda u: u["passage"].contains("\n")),
+            F.when(F.size(blocks) > 1, F.array(unit("text", F.lit(0), F.array_join(blocks, "\n"))))
+            .otherwise(F.array().cast("array<struct<kind:string,place:bigint,passage:string>>")),
+        )
+
+    def both(lines: Column) -> Column:
+        return let(F.split(F.btrim(F.array_join(lines, "\n"), F.lit("\n")), "\n\n+"), lambda blocks: found(lines, blocks))
+
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(let(plain, both)).alias("u"))
+    units = units.select("doc_id", "u.kind", "u.place", F.translate("u.passage", "\n", " ").alias("passage"))
     size = F.length("passage") - F.length(F.replace("passage", F.lit(" "), F.lit("")))
     return units.withColumn("size", size).where(F.col("size").between(least, most))
 
@@ -143,15 +153,17 @@ def license_scan(docs: DataFrame, min_dice: float = 0.8, templates: dict[str, st
         rows, "license string, b int, least int, most int, kinds array<string>, counts array<int>, keys array<string>"
     )
     units = passages(docs, min(r[2] for r in rows), max(r[3] for r in rows))
-    units = units.withColumn("_grams", bigrams(F.split("passage", " ")))
+    units = units.withColumn("_grams", bigrams(F.col("passage")))
     keyed = F.broadcast(known.select("license", "least", "most", F.explode("keys").alias("key")))  # a fixed list
     met = units.select("doc_id", "kind", "place", "passage", "size", F.explode(F.array_distinct("_grams")).alias("key")).join(keyed, "key")
     met = met.where(F.col("size").between(F.col("least"), F.col("most")))
     met = met.select("doc_id", "kind", "place", "passage", "size", "license").distinct()
     pairs = met.join(F.broadcast(known.select("license", "b", "kinds", "counts")), "license")
-    pairs = pairs.withColumn("_grams", bigrams(F.split("passage", " ")))
+    pairs = pairs.withColumn("_grams", bigrams(F.col("passage")))
     shared = F.aggregate(
-        F.zip_with("kinds", "counts", lambda k, n: F.least(n, F.size(F.filter("_grams", lambda g: g == k)))), F.lit(0), lambda a, x: a + x
+        let(F.col("_grams"), lambda grams: F.zip_with("kinds", "counts", lambda k, n: F.least(n, F.size(F.filter(grams, lambda g: g == k))))),
+        F.lit(0),
+        lambda a, x: a + x,
     )
     scored = pairs.select("doc_id", "kind", "place", "license", (2.0 * shared / (F.col("size") + F.col("b"))).alias("dice"))
     best = scored.where(F.col("dice") >= min_dice).groupBy("doc_id", "kind", "place").agg(

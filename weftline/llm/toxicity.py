@@ -5,7 +5,8 @@ thresholds. x counts, over a text's distinct words, the word itself and its pref
 6 letters (hashed), so inflected and compound forms share weight. The fit runs on the driver
 over at most ``fit_rows`` labelled documents of each side (toxic or not), the first by a hash
 of their id, weighted back to the labels' true shares: proximal gradient steps with an L1
-penalty leave a few hundred weights. That is the only bound; every document is scored whole.
+penalty leave a few hundred weights, none of them negative: clean words don't excuse others.
+Only features of at least ``min_docs`` texts and a log odds of ``min_odds`` take part. That is the only bound; every document is scored whole.
 
 Labels that only say toxic or not are made three grades: 0 for clean, and for toxic documents 1
 or 2 by whether their number of toxic-leaning words (smoothed log odds over the sample) exceeds
@@ -19,6 +20,7 @@ extra columns are ignored by ``toxicity`` and kept by ``toxicity_filter``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +38,9 @@ SCORES = "severity double, toxic_prob double, grade int"
 
 
 def word_features(word: str) -> list[int]:
+    """Hashes of 31 bits, so that they fit 32-bit integers."""
     digest = xxhash.xxh32_intdigest
-    return [digest(f"w{word}"), *(digest(f"p{word[:k]}") for k in PREFIXES if len(word) >= k)]
+    return [digest(f"w{word}") >> 1, *(digest(f"p{word[:k]}") >> 1 for k in PREFIXES if len(word) >= k)]
 
 
 def text_words(text: str | None) -> set[str]:
@@ -68,7 +71,7 @@ class OrdinalModel:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, share: np.ndarray, features: int,
-    penalty: float = 5e-5, rounds: int = 600,
+    penalty: float = 1e-4, rounds: int = 600,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient; ``share`` weighs the rows."""
     n, top = len(grades), int(grades.max())
@@ -103,7 +106,7 @@ def fit_ordinal(
         value, gw, gp = loss(yw, yp)
         while True:
             moved = yw - step * gw
-            nw = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+            nw = np.maximum(moved - step * penalty, 0)
             np_ = yp - step * gp
             dw, dp = nw - yw, np_ - yp
             if step < 1e-6 or loss(nw, np_)[0] <= value + gw @ dw + gp @ dp + (dw @ dw + dp @ dp) / (2 * step) + 1e-12:
@@ -129,7 +132,9 @@ def _sampled(labelled: DataFrame, fit_rows: int) -> tuple[DataFrame | None, dict
     return parts[0].unionByName(parts[1]), {side: sides[side] / min(sides[side], fit_rows) for side in (0, 1)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 4000, min_docs: int = 4) -> OrdinalModel | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 2500, min_docs: int = 4, min_odds: float = 2.0
+) -> OrdinalModel | None:
     """Fit on labelled documents; None where the labels hold one grade or none."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").alias("doc_id"), text_column(docs).alias("text"))
@@ -141,24 +146,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sorted(f for w in text_words(x.as_py()) for f in word_features(w)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "label", "f"])
+            found = [Counter(f for w in text_words(x.as_py()) for f in word_features(w)) for x in batch.column(1)]
+            lists = pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "label", "f", "times"])
 
-    got = chosen.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, f array<bigint>").toArrow()
+    got = chosen.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, f array<int>, times array<int>").toArrow()
     got = got.sort_by("doc_id").combine_chunks()
     label_of = got["label"].to_numpy()
-    lists = got["f"].chunk(0) if got["f"].num_chunks else pa.array([], pa.list_(pa.int64()))
+    lists = got["f"].chunk(0) if got["f"].num_chunks else pa.array([], pa.list_(pa.int32()))
     counts = np.diff(lists.offsets.to_numpy())
     names, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(counts)), counts)
-    pair, times = np.unique(row.astype(np.int64) * len(names) + flat, return_counts=True)
-    row, flat = pair // len(names), pair % len(names)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    times = got["times"].chunk(0).flatten().to_numpy() if got["times"].num_chunks else np.zeros(0, np.int32)
     toxic = label_of > 0
     side = np.where(toxic, weight[1], weight[0])
     in_toxic = np.bincount(flat, toxic[row], minlength=len(names))
     in_clean = np.bincount(flat, ~toxic[row], minlength=len(names))
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic).sum() + 1))
-    use = (in_toxic + in_clean >= min_docs) & (np.abs(odds) >= 1.0)
+    use = (in_toxic + in_clean >= min_docs) & (odds >= min_odds)
     leaning = use & (odds >= 3.0)
     amount = np.bincount(row, times * leaning[flat], minlength=len(counts))
     if set(np.unique(label_of)) <= {0, 1}:
