@@ -206,7 +206,7 @@ class _Reader:
             if cut.any():
                 sp = np.where(cut, (~lo + ONE) & (BOT - ONE), sp)
             word = self.next.take(at)
-            self.code[at] = (self.code.take(at) << WORD) | self.words.take(word)
+            self.code[at] = (self.code.take(at) << WORD) | self.words.take(word, mode="clip")
             self.next[at] = word + 1
             low, span = lo << WORD, sp << WORD
             self.low[at], self.span[at] = low, span
