@@ -8,7 +8,8 @@ taken over bigrams with their multiplicity, so a passage of n words has n - 1 of
 Pruning, all exact for a Dice of ``min_dice`` or more: a template of b bigrams only matches
 passages of between b * t / (2 - t) and b * (2 - t) / t bigrams; and such a passage shares
 at least one of the template's rarest b - ceil(b * t / (2 - t)) + 1 bigrams (by bigram, not
-position), which is looked up by a broadcast join on that fixed list. Only the few passages that
+position), which is looked up by a broadcast join on that fixed list, after a set test for the
+rarer words of those bigrams. Only the few passages that
 meet a template that way are compared in full, inside their row; nothing but those is shuffled.
 
 Defined results: null or empty text has no passages; equal scores go to the first template by
@@ -153,6 +154,9 @@ def license_scan(docs: DataFrame, min_dice: float = 0.8, templates: dict[str, st
         rows, "license string, b int, least int, most int, kinds array<string>, counts array<int>, keys array<string>"
     )
     units = passages(docs, min(r[2] for r in rows), max(r[3] for r in rows))
+    # A key bigram brings its rarer word along: most passages have none of those and end here.
+    signs = sorted({max(key.split(), key=lambda w: (w not in FREQUENT and not w.isdigit(), len(w), w)) for r in rows for key in r[6]})
+    units = units.where(F.arrays_overlap(F.split("passage", " "), F.array(*map(F.lit, signs))))
     units = units.withColumn("_grams", bigrams(F.col("passage")))
     keyed = F.broadcast(known.select("license", "least", "most", F.explode("keys").alias("key")))  # a fixed list
     met = units.select("doc_id", "kind", "place", "passage", "size", F.explode(F.array_distinct("_grams")).alias("key")).join(keyed, "key")
