@@ -2,8 +2,8 @@
 
 Both kinds of vocabulary here cut a text into pieces before merging bytes, and no piece runs
 from a non-space into a space. So a text may be cut wherever a space follows a non-space, and
-its ids are those of its parts in order. Within a part of letters and one final stop or comma
-the two are pieces of their own. Parts repeat, so most ids come from the cache; the tokenizers
+its ids are those of its parts in order. A lone line end between two non-spaces is a piece of
+its own, and so are the letters and the final marks of a part such as "word.". Parts repeat, so most ids come from the cache; the tokenizers
 library makes the rest: its merge model for plain letters, its whole pipeline for other parts.
 What the cache holds never changes a result.
 """
@@ -13,12 +13,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+_RUN = re.compile(r"\s\s")
+#: Marks after a word's letters; no apostrophe, which can begin a contraction.
+MARKS = ".,;:!?#*$%&|<>"
 
 
 def byte_letters() -> dict[int, str]:
@@ -32,15 +36,15 @@ def byte_letters() -> dict[int, str]:
 class _Parts(dict):
     """Ids of parts; two generations, so that frequent parts outlive a full cache."""
 
-    def __init__(self, owner: CachedTokenizer, entries: int):
+    def __init__(self, owner: CachedTokenizer, space: str, entries: int):
         super().__init__()
-        self.owner, self.half, self.older = owner, max(1, entries // 2), {}
+        self.owner, self.space, self.half, self.older = owner, space, max(1, entries // 2), {}
 
     def __missing__(self, part: str) -> bytes:
         if part in self.older:
             found = self.older[part]
         else:
-            found, keep = self.owner.make(part)
+            found, keep = self.owner.make(self, part)
             if not keep:
                 return found
         if len(self) >= self.half:
@@ -63,38 +67,61 @@ class CachedTokenizer:
         known = {"Sequence", "ByteLevel"}
         if spec["pre_tokenizer"]["type"] not in known or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: not a byte-level merge vocabulary")
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.model, self.letters, self.longest = self.tokenizer.model, byte_letters(), longest
-        self.ends = {x: self.whole(x) for x in ".,"}
-        self.words = _Parts(self, entries)
+        self.marks: dict[str, bytes] = {}
+        self.first = _Parts(self, "", max(2, entries // 4))  # parts without a space before them
+        self.words = _Parts(self, " ", entries) if self.spaced else self.first
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def make(self, part: str) -> tuple[bytes, bool]:
-        """Ids of a part after a space, and whether to keep them."""
-        if part[-1:] in self.ends and part[:-1].isalpha():
-            return self.words[part[:-1]] + self.ends[part[-1]], False
-        if part.isalpha():
-            word = part
+    def mark(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.whole(marks)
+            if len(self.marks) < 4096 and len(marks) < 16:
+                self.marks[marks] = found
+        return found
+
+    @staticmethod
+    def lowered(word: str) -> str:
+        """A word as the normaliser leaves it; it may then end with a mark that joins others."""
+        return word if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+
+    def make(self, parts: _Parts, part: str) -> tuple[bytes, bool]:
+        """Ids of a part, and whether to keep them."""
+        word = part if part.isalpha() else part.rstrip(MARKS)
+        if word is not part and word.isalpha() and len(word) < len(part) and (not self.lower or self.lowered(word).isalpha()):
+            return parts[word] + self.mark(part[len(word) :]), False
+        keep = len(part) <= self.longest
+        if not part.isalpha():
+            return self.whole(parts.space + part), keep
+        if part.isascii():
+            if self.lower:
+                word = part.lower()
+                if word != part:
+                    return parts[word], False
+            letters = "\u0120" + word if parts.space else word  # the byte alphabet's space
+        else:
             if self.lower:
-                if not part.isascii():
-                    word = unicodedata.normalize("NFC", part)
-                    if not word.isalpha():
-                        return self.whole(part), False
-                word = "".join(c.lower() for c in word) if not word.isascii() else word.lower()
-                if word != part and word.isascii():
-                    return self.words[word], False
+                word = self.lowered(part)
                 if not word.isalpha():
-                    return self.whole(part), False
-            letters = (" " + word if self.spaced else word).encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
-            return found, len(part) <= self.longest
-        return self.whole(" " + part if self.spaced else part), len(part) <= self.longest
+                    return self.whole(part), keep
+            letters = (parts.space + word).encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes(), keep
 
     def encode(self, text: str) -> bytes:
         if self.lower:
-            return b"".join(map(self.words.__getitem__, text.split(" ")))
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        if not _RUN.search(text) and text[-1:] != "\n":
+            # Lines of words: every line begins without a space.
+            out, end = [], self.mark("\n")
+            for line in text.split("\n"):
+                words = line.split(" ")
+                out += (self.first[words[0]], *map(self.words.__getitem__, words[1:]), end)
+            return b"".join(out[:-1])
         parts = _CUT.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
         return self.whole(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
