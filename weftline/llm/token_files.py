@@ -2,8 +2,8 @@
 
 File: the magic ``WIDS0001``; blocks; the document index; a trailer. A block is its id count,
 byte count and the CRC-32 of its ids (three unsigned 32-bit integers, little-endian), then the
-coded bytes (``id_codec``). Blocks run across documents, hold ``block_ids`` ids each (the last
-fewer), and are reset, so each can be decoded alone. The index is the zlib-compressed pairs
+coded bytes (``id_codec``). Blocks run across documents, hold ``block_ids`` ids each (in a file's
+last group fewer, the last block least), and are reset, so each can be decoded alone. The index is the zlib-compressed pairs
 (doc_id, id count) as signed 64-bit integers; the trailer is the index's offset and size and the
 file's document and id counts as four unsigned 64-bit integers.
 
@@ -37,6 +37,7 @@ from weftline.llm.token_cache import cached
 
 MAGIC = b"WIDS0001"
 BLOCK, TRAILER = struct.Struct("<III"), struct.Struct("<QQQQ")
+LEAST_BLOCK, LEAST_LANES = 256, 2048
 MANIFEST = "file string, part int, docs long, ids long"
 NO_DOC = -(1 << 63)  # stands for a null doc_id in the index
 
@@ -65,7 +66,10 @@ class FileWriter:
         ready = len(flat) if last else len(flat) // size * size
         for start in range(0, ready, size):
             part = flat[start : min(start + size, ready)]
-            blocks = [part[i : i + self.block_ids] for i in range(0, len(part), self.block_ids)]
+            # A step of the coder costs much the same for few lanes as for many, so a small group
+            # is cut into shorter blocks.
+            block = min(self.block_ids, max(LEAST_BLOCK, -(-len(part) // LEAST_LANES)))
+            blocks = [part[i : i + block] for i in range(0, len(part), block)]
             for b, coded in zip(blocks, id_codec.encode_blocks(blocks), strict=True):
                 self.at += self.out.write(BLOCK.pack(len(b), len(coded), id_codec.checksum(b)) + coded)
         self.held = [flat[ready:].copy()] if ready < len(flat) else []
