@@ -36,9 +36,10 @@ def test_query_equals_oracle(spark, sf, name):
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_tokenizer_equals_library(spark, sf, file):
     whole = Tokenizer.from_file(vocabulary(file))
-    whole.encode_special_tokens = True
     pick = random.Random(1)
     fuzz = ["".join(pick.choice("ab c\n\t '.,é1日 ") for _ in range(pick.randint(0, 40))) for _ in range(500)]
+    atoms = "a,Bc, ,  ,\n,\n\n, \n,\t,\r\n,'s,İ!,É.,é,word.,x.y,12,<|endoftext|>,...,\u3000,日本,<,>,\u0338,e\u0301!,\x0b,\x1f,|>,   ".split(",")
+    fuzz += ["".join(pick.choice(atoms) for _ in range(pick.randint(0, 14))) for _ in range(1500)]
     texts = [t or "" for t in ODD] + fuzz + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     for entries in (10, 100_000):
         tokens = CachedTokenizer(vocabulary(file), entries=entries)
@@ -63,7 +64,6 @@ def test_first_fit_decreasing_equals_plain_loop():
 def test_packing_covers_every_id_once(spark):
     docs = documents(spark)
     whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rows = packing.pack(docs, vocabulary("word_bpe_49k.json"), room=64, group_pieces=50).collect()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -109,28 +109,31 @@ def test_bad_hosts_go_and_clean_hosts_stay(spark):
     assert {r["doc_id"] for r in host_quality.quality_filter(docs).collect()} == kept
 
 
-@pytest.mark.parametrize("blocks", [[[5]], [[0] * 3000], [list(range(700)), [65535] * 300, [1, 2] * 100], [[7]] * 40])
-def test_coder_round_trip(blocks):
-    blocks = [np.array(b, np.uint16) for b in blocks]
-    coded = id_codec.encode_blocks(blocks)
-    assert all(np.array_equal(a, b) for a, b in zip(blocks, id_codec.decode_blocks(coded, [len(b) for b in blocks]), strict=True))
-    last = id_codec.decode_blocks(coded[-1:], [len(blocks[-1])])  # a block can be decoded alone
-    assert np.array_equal(last[0], blocks[-1])
+CODED = [[], [5], [0] * 3000, [*range(700), *[65535] * 300, *[1, 2] * 100], [7] * 5000, [*range(65536), *range(65536)]]
+
+
+@pytest.mark.parametrize("ids", CODED, ids=range(len(CODED)))
+def test_coder_round_trip(ids):
+    ids = np.array(ids, np.uint16)
+    assert np.array_equal(id_codec.decode_block(id_codec.encode_block(ids), len(ids)), ids)
 
 
 def test_coder_round_trip_of_random_ids_and_gain():
     rng = np.random.default_rng(4)
-    noise = [rng.integers(0, 65536, 2000).astype(np.uint16) for _ in range(5)]
-    assert all(np.array_equal(a, b) for a, b in zip(noise, id_codec.decode_blocks(id_codec.encode_blocks(noise), [2000] * 5), strict=True))
-    text = np.tile(rng.integers(0, 500, 100), 20).astype(np.uint16)
-    assert len(id_codec.encode_blocks([text])[0]) < len(text)
+    for n in (1, 511, 513, 5000, 200_000):
+        noise = rng.integers(0, 65536, n).astype(np.uint16)
+        skewed = (rng.integers(0, 300, n) ** 2 // 2).astype(np.uint16)
+        for ids in (noise, skewed):
+            assert np.array_equal(id_codec.decode_block(id_codec.encode_block(ids), n), ids)
+    text = np.tile(rng.integers(0, 500, 5000), 20).astype(np.uint16)
+    assert len(id_codec.encode_block(text)) < 0.8 * len(text)  # half of its raw size is len(text)
+    assert len(id_codec.encode_block(skewed)) * 8 < 9 * n
 
 
 def test_token_files_round_trip(spark, tmp_path):
     docs = documents(spark).where("doc_id is not null")
     whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    rows = token_files.id_round_trip(docs, vocabulary("byte_bpe_50k.json"), block_ids=64, lanes=8, text_bytes=4000).orderBy("start").collect()
+    rows = token_files.id_round_trip(docs, vocabulary("byte_bpe_50k.json"), block_ids=64, text_bytes=4000).orderBy("start").collect()
     start, expected = 0, []
     for i, t in enumerate(ODD):
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -141,14 +144,16 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.id_round_trip(empty(spark), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_damaged_token_file_is_rejected(spark, tmp_path):
+@pytest.mark.parametrize("place,why", [(-1, "magic|not a token-id file"), (24, "other lanes"), (2000, "checksum")])
+def test_damaged_token_file_is_rejected(spark, tmp_path, place, why):
+    """The magic, the head of a block's lanes and its coded ids."""
     folder = f"file://{tmp_path}/ids"
     manifest = token_files.write_ids(documents(spark), vocabulary("byte_bpe_50k.json"), folder)
     path = manifest.first()["file"].removeprefix("file://")
     raw = bytearray(open(path, "rb").read())
-    raw[40] ^= 255
+    raw[max(place, 0)] ^= 255
     open(path, "wb").write(raw)
-    with pytest.raises(Exception, match="checksum|ends within"):
+    with pytest.raises(Exception, match=why):
         token_files.read_ids(spark, manifest).collect()
 
 

@@ -1,15 +1,22 @@
 """Adaptive context-mixing range coder for token ids below 65536, in independent blocks.
 
-Every id is one of four events: it is what the order-2 context predicts (0), what the order-1
-context predicts (1), the last id seen with its low byte (2), or another (3). The probability
-of the event is mixed from three adaptive distributions: one chosen by how often the order-2
-slot has been right of late, one by the order-1 slot, one by the last event. Events 2 and 3 are
-followed by the low byte, event 3 by the high byte, as adaptive order-0 digits of four bits.
-All of it drives a carryless range coder (64-bit low and range, 16-bit words out).
-
-Blocks are reset: nothing learnt in one is used in another, so blocks can be decoded alone, and
-many blocks are coded side by side as lanes of numpy arrays, one id of each at a time. Encoder
-and decoder run the same model code on the same integers.
+A block's ids are cut into lanes of consecutive ids; all lanes advance together, one id of each
+at a step, as numpy arrays. Lanes share the block's model and have a range coder each. Nothing
+learnt in one block is used in another, so a block is decoded alone.
+
+Each id is one of four events: what the order-2 context (the last two ids) predicts, what the
+order-1 context predicts, another id with an order-0 frequency, or an id without one, which is
+sent as it is. Both contexts keep the id that last followed them and how sure that is.
+
+Probabilities of the events are mixed from four experts: one sees how sure order 2 is, one how
+sure order 1 is, one whether the last id was predicted, one all of these. Their weights, one set
+for each sureness of order 2, adapt by the experts' share in what was coded. Frequencies, experts
+and weights are learnt from all ids up to the last settlement; settlements come after 1, 2, 4, ..
+steps, then after every 32nd. The model is integers only, so that encoder and decoder agree on
+any machine.
+
+A block's bytes: the number of lanes and of 16-bit words in each lane (unsigned 32-bit integers,
+little-endian), then the words lane by lane.
 """
 
 from __future__ import annotations
@@ -18,257 +25,226 @@ import zlib
 
 import numpy as np
 
-U64 = np.uint64
-TOP, BOT = U64(1 << 48), U64(1 << 32)
-ONE, WORD, LAST = U64(1), U64(16), U64(48)
-#: Bits of precision: an event and the two digits of the low byte fit between two settlements.
-DIGIT_BITS, EVENT_BITS, RATE = 10, 12, 4
-DIGITS, EVENTS = U64(DIGIT_BITS), U64(EVENT_BITS)
-SLOT_BITS = 9  # prediction slots of each order and block, as a power of two
-SLOTS, SLOT_SHIFT = 1 << SLOT_BITS, np.uint32(32 - SLOT_BITS)
-BYTE, ID, NIBBLE = np.uint32(0xFF), np.uint32(0xFFFF), np.uint32(4)
-
-
-def _mixin(symbols: int) -> np.ndarray:
-    """Where each cumulative count drifts to after each symbol; gaps stay at one at least."""
-    total = 1 << DIGIT_BITS
-    at = np.arange(symbols)
-    return np.where(at[None, :] <= at[:, None], at[None, :], total - symbols + at[None, :]).astype(np.int16)
-
-
-MIX4, MIX16 = _mixin(4), _mixin(16)
-
-
-def _even(rows: int, symbols: int) -> np.ndarray:
-    return np.tile((np.arange(symbols) * ((1 << DIGIT_BITS) // symbols)).astype(np.int16), (rows, 1))
-
-
-class Lanes:
-    """Model state of many blocks; predictions first, then learning, one id of each block."""
+ID = 0xFFFF
+LANE_IDS, MOST_LANES = 512, 4096
+EVENT_BITS, ORDER0_BITS = 10, 16  # precision of an event and of an order-0 id
+RANGE_BITS, WORD = 48, 16
+LEAST_RANGE = 1 << 32
+SLOT_BITS, SURE = 16, 3  # order-2 slots as a power of two, highest sureness
+MOST_SEEN = 1 << 15  # ids with an order-0 frequency
+UNIT = 1 << 16  # probability one
+EVENTS, CONTEXTS = 4, 64
+LONGEST_WAIT = 32
+FIELD = 20  # a start lies above a width in one integer
+LOW = (1 << FIELD) - 1
+UNSEEN = 1 << 2 * FIELD  # marks an id without an order-0 frequency
+STEP1, STEP2 = 0x9E3779B1, 0x85EBCA6B
+
+
+def shape(n: int) -> tuple[int, int]:
+    """Lanes of a block of ``n`` ids and the steps each takes."""
+    lanes = min(MOST_LANES, max(1, -(-n // LANE_IDS)))
+    return lanes, -(-n // lanes)
+
+
+class Mixer:
+    """Event probabilities in every context: sureness of order 2, of order 1, whether both
+    predict one id, whether the last id was predicted."""
+
+    AXES = ((1, 3), (0, 3), (0, 1, 2), ())  # what each expert doesn't see of a context
+
+    def __init__(self):
+        self.seen = [np.zeros((4, 4, 2, 2, EVENTS), np.int64).sum(axis=a, keepdims=True) + 1 for a in self.AXES]
+        self.weights = np.full((len(self.AXES), 4), UNIT // len(self.AXES), np.int64)
+        self.mix()
+
+    def mix(self) -> None:
+        self.parts = []
+        for seen, weight in zip(self.seen, self.weights, strict=True):
+            p = seen * (UNIT - EVENTS) // seen.sum(axis=-1, keepdims=True) + 1
+            self.parts.append(p * weight[:, None, None, None, None])
+        total = sum(np.broadcast_to(p, (4, 4, 2, 2, EVENTS)) for p in self.parts)
+        self.total = np.maximum(total, 1)
+        flat = self.total.reshape(CONTEXTS, EVENTS)
+        scale = 1 << EVENT_BITS
+        width = flat * (scale - EVENTS) // flat.sum(axis=1, keepdims=True) + 1
+        rows = np.arange(CONTEXTS)
+        width[rows, width.argmax(axis=1)] += scale - width.sum(axis=1)
+        self.place = (((np.cumsum(width, axis=1) - width) << FIELD) + width).ravel()  # start and width
+        self.event_at = np.repeat(np.tile(np.arange(EVENTS), CONTEXTS), width.ravel())  # by context and place
+
+    def learn(self, cells: np.ndarray) -> None:
+        """``cells`` are context * EVENTS + event of the ids coded since the last time."""
+        new = np.bincount(cells, minlength=CONTEXTS * EVENTS).reshape(4, 4, 2, 2, EVENTS)
+        share = np.stack([(new * p // self.total.clip(1) if p.shape == new.shape else new * np.broadcast_to(p, new.shape) // self.total) for p in self.parts])
+        # ``new * part`` stays below 2 ** 63: counts below 2 ** 20, parts below 2 ** 32.
+        share = share.sum(axis=(2, 3, 4, 5)) + 1
+        self.weights = (self.weights + share * UNIT // share.sum(axis=0)) // 2
+        for k, axes in enumerate(self.AXES):
+            self.seen[k] = self.seen[k] // 2 + new.sum(axis=axes, keepdims=True) * 8 + 1
+        self.mix()
+
+
+class Order0:
+    """Frequencies of the ids that were not predicted."""
+
+    def __init__(self):
+        self.counts = np.zeros(1 << 16, np.int64)
+        self.place = self.unseen = (np.arange(1 << 16) << FIELD) + UNSEEN + 1  # start and width by id
+        self.id_at = np.arange(1 << ORDER0_BITS)
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.counts += np.bincount(ids, minlength=1 << 16)
+        seen = (self.counts > 0).nonzero()[0]
+        if not len(seen):
+            return
+        if len(seen) > MOST_SEEN:
+            seen = np.sort(seen[np.argsort(-self.counts[seen], kind="stable")[:MOST_SEEN]])
+        own = self.counts[seen]
+        width = own * ((1 << ORDER0_BITS) - len(seen)) // own.sum() + 1
+        width[own.argmax()] += (1 << ORDER0_BITS) - width.sum()
+        self.place = self.unseen.copy()
+        self.place[seen] = ((np.cumsum(width) - width) << FIELD) + width
+        self.id_at = np.repeat(seen, width)
+
+
+class Model:
+    """What a block has learnt. ``predict``, then ``learn``, once a step."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.second, self.first = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
-        self.recent = np.zeros(lanes * 256, np.uint32)
-        self.by_second, self.by_first, self.by_event = (_even(lanes * 4, 4) for _ in range(3))
-        self.digits = [(_even(lanes, 16), _even(lanes * 16, 16)) for _ in range(2)]  # low byte, high byte
-        self.p1, self.h1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.event = np.zeros(lanes, np.int64)
-        self.narrow(lanes)
-
-    def narrow(self, n: int) -> None:
-        """Go on with the first ``n`` lanes."""
-        self.lane = self.lane[:n]
-        self.slots, self.lane4, self.lane256 = self.lane * SLOTS, self.lane * 4, self.lane * 256
-        self.p1, self.h1, self.event = self.p1[:n], self.h1[:n], self.event[:n]
+        self.second, self.first = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << 16, np.int64)
+        self.mixer, self.order0 = Mixer(), Order0()
+        self.last, self.older, self.hit = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.cells: list[np.ndarray] = []
+        self.unpredicted: list[np.ndarray] = []
+        self.wait, self.steps = 1, 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1, and the mixed cumulative counts of the events."""
-        h = self.p1 * np.uint32(0x9E3779B1)
-        self.at1 = self.slots + (h >> SLOT_SHIFT)
-        self.at2 = self.slots + ((h ^ (self.h1 * np.uint32(5))) >> SLOT_SHIFT)
-        self.h1 = h
-        self.s2, self.s1 = self.second.take(self.at2), self.first.take(self.at1)
-        self.r2, self.r1, self.r0 = self.lane4 + (self.s2 >> np.uint32(16)), self.lane4 + (self.s1 >> np.uint32(16)), self.lane4 + self.event
-        self.m2, self.m1, self.m0 = self.by_second.take(self.r2, 0), self.by_first.take(self.r1, 0), self.by_event.take(self.r0, 0)
-        self.g2, self.g1 = self.s2 & ID, self.s1 & ID
-        return self.g2, self.g1, (self.m2 << 1) + self.m1 + self.m0
-
-    def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
-        to = MIX4.take(event, 0)
-        self.by_second[self.r2] = self.m2 + ((to - self.m2) >> RATE)
-        self.by_first[self.r1] = self.m1 + ((to - self.m1) >> RATE)
-        self.by_event[self.r0] = self.m0 + ((to - self.m0) >> RATE)
-        for table, at, slot, guess in ((self.second, self.at2, self.s2, self.g2), (self.first, self.at1, self.s1, self.g1)):
-            sure = np.minimum(slot >> np.uint32(16), np.uint32(2)) + np.uint32(1)
-            table[at] = ids | ((sure * (guess == ids)) << np.uint32(16))
-        self.recent[self.lane256 + (ids & BYTE)] = ids >> np.uint32(8)
-        self.p1, self.event = ids, event
-
-
-def _span(rows: np.ndarray, symbol: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of each row's symbol in its cumulative counts."""
-    n, width = rows.shape
-    flat = np.append(rows.ravel(), np.int16(total))
-    base = np.arange(0, n * width, width) + symbol
-    low = flat.take(base).astype(np.int64)
-    after = flat.take(base + 1).astype(np.int64)
-    after[symbol == width - 1] = total
-    return low.view(U64), (after - low).view(U64)
-
-
-class _Writer:
-    """Range encoder state of the lanes; a subset of lanes may take a symbol."""
-
-    def __init__(self, lanes: int):
-        self.low, self.span = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64)
-        self.lanes: list[np.ndarray] = []
-        self.words: list[np.ndarray] = []
-
-    def settle(self, at: np.ndarray) -> None:
-        low, span = self.low.take(at), self.span.take(at)
-        while len(at):
-            same = (low ^ (low + span)) < TOP
-            need = np.flatnonzero(same | (span < BOT))
-            if not len(need):
-                return
-            at, lo, sp = at.take(need), low.take(need), span.take(need)
-            cut = ~same.take(need)
-            if cut.any():
-                sp = np.where(cut, (~lo + ONE) & (BOT - ONE), sp)
-            self.lanes.append(at.astype(np.uint16))
-            self.words.append((lo >> LAST).astype(np.uint16))
-            low, span = lo << WORD, sp << WORD
-            self.low[at], self.span[at] = low, span
-
-    def finish(self) -> list[bytes]:
-        n = len(self.low)
-        lanes = np.concatenate([np.zeros(0, np.uint16), *self.lanes])
-        order = np.argsort(lanes, kind="stable")
-        flat = np.concatenate([np.zeros(0, np.uint16), *self.words])[order]
-        ends = np.searchsorted(lanes[order], np.arange(n), side="right")
-        tail = np.stack([(self.low >> U64(s)).astype(np.uint16) for s in (48, 32, 16, 0)], axis=1)
-        return [w.astype("<u2").tobytes() + t.astype("<u2").tobytes() for w, t in zip(np.split(flat, ends[:-1]), tail, strict=True)]
-
-
-def _grid(blocks: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(blocks), len(blocks[0])), np.uint32)
-    for i, b in enumerate(blocks):
-        out[i, : len(b)] = b
-    return np.ascontiguousarray(out.T)
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded bytes of each block of ids; blocks come longest first, 65536 at most."""
-    grid, lengths, active = _grid(blocks), [len(b) for b in blocks], len(blocks)
-    model, out = Lanes(active), _Writer(active)
-    for t in range(len(grid)):
-        while lengths[active - 1] <= t:
-            active -= 1
-        if active < len(model.lane):
-            model.narrow(active)
-        lane, low, span, ids = model.lane, out.low[:active], out.span[:active], grid[t, :active]
-        guess2, guess1, cum = model.predict()
-        small = ids & BYTE
-        event = 3 - (model.recent.take(model.lane256 + small) == (ids >> np.uint32(8))).astype(np.int64)
-        event[guess1 == ids] = 1
-        event[guess2 == ids] = 0
-        start, width = _span(cum, event, 1 << EVENT_BITS)
-        step = span >> EVENTS
-        low += step * start
-        np.multiply(step, width, out=span)
-        at = lane
-        for k in (0, 1):  # the low byte of events 2 and 3, the high byte of event 3
-            own = np.flatnonzero(event > 1 + k)
-            if not len(own):
-                break
-            value = ids.take(own) >> np.uint32(8 * k) & BYTE
-            lo, sp = low.take(own), span.take(own)
-            hi = (value >> NIBBLE).astype(np.int64)
-            for rows, where, symbol in ((model.digits[k][0], own, hi), (model.digits[k][1], own * 16 + hi, (value & np.uint32(15)).astype(np.int64))):
-                row = rows.take(where, 0)
-                start, width = _span(row, symbol, 1 << DIGIT_BITS)
-                step = sp >> DIGITS
-                lo += step * start
-                sp = step * width
-                rows[where] = row + ((MIX16.take(symbol, 0) - row) >> RATE)
-            low[own], span[own] = lo, sp
-            if k == 0:
-                out.settle(lane)
-                at = own
-        out.settle(at)
-        model.learn(ids, event)
-    return out.finish()
-
-
-class _Reader:
-    """Range decoder state of the lanes."""
-
-    def __init__(self, coded: list[bytes]):
-        sizes = np.array([len(c) // 2 for c in coded])
-        self.words = np.concatenate([np.frombuffer(b"".join(coded), "<u2").astype(U64), np.zeros(4, U64)])
-        self.next = np.cumsum(sizes) - sizes
-        self.low, self.span = np.zeros(len(coded), U64), np.full(len(coded), (1 << 64) - 1, U64)
-        self.code = np.zeros(len(coded), U64)  # of the coded value, what lies above ``low``
-        for _ in range(4):
-            self.code = (self.code << WORD) | self.words[self.next]
-            self.next += 1
-
-    def settle(self, at: np.ndarray) -> None:
-        low, span = self.low.take(at), self.span.take(at)
-        while len(at):
-            same = (low ^ (low + span)) < TOP
-            need = np.flatnonzero(same | (span < BOT))
-            if not len(need):
-                return
-            at, lo, sp = at.take(need), low.take(need), span.take(need)
-            cut = ~same.take(need)
-            if cut.any():
-                sp = np.where(cut, (~lo + ONE) & (BOT - ONE), sp)
-            word = self.next.take(at)
-            self.code[at] = (self.code.take(at) << WORD) | self.words.take(word, mode="clip")
-            self.next[at] = word + 1
-            low, span = lo << WORD, sp << WORD
-            self.low[at], self.span[at] = low, span
-
-
-def _found(rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The last symbol of each row that starts at or before the target."""
-    below = rows <= target[:, None]
-    if rows.shape[1] == 4:
-        return np.bitwise_count(below.view(np.uint32).ravel()).astype(np.int64) - 1
-    halves = np.bitwise_count(below.view(np.uint64))
-    return (halves[:, 0] + halves[:, 1]).astype(np.int64) - 1
-
-
-def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """Ids of each block; blocks come longest first."""
-    active = len(coded)
-    model, src = Lanes(active), _Reader(coded)
-    grid = np.zeros((lengths[0], active), np.uint16)
-    for t in range(len(grid)):
-        while lengths[active - 1] <= t:
-            active -= 1
-        if active < len(model.lane):
-            model.narrow(active)
-        lane, low, span, code = model.lane, src.low[:active], src.span[:active], src.code[:active]
-        guess2, guess1, cum = model.predict()
-        step = span >> EVENTS
-        event = _found(cum, np.minimum((code - low) // step, U64((1 << EVENT_BITS) - 1)).astype(np.int16))
-        start, width = _span(cum, event, 1 << EVENT_BITS)
-        low += step * start
-        np.multiply(step, width, out=span)
-        ids = np.where(event == 0, guess2, guess1)
-        at = lane
-        for k in (0, 1):
-            own = np.flatnonzero(event > 1 + k)
-            if not len(own):
-                break
-            lo, sp, co, hi = low.take(own), span.take(own), code.take(own), None
-            for part in (0, 1):
-                rows, where = model.digits[k][part], own if hi is None else own * 16 + hi
-                row = rows.take(where, 0)
-                step = sp >> DIGITS
-                symbol = _found(row, np.minimum((co - lo) // step, U64((1 << DIGIT_BITS) - 1)).astype(np.int16))
-                start, width = _span(row, symbol, 1 << DIGIT_BITS)
-                lo += step * start
-                sp = step * width
-                rows[where] = row + ((MIX16.take(symbol, 0) - row) >> RATE)
-                if part == 0:
-                    hi = symbol
-            low[own], span[own] = lo, sp
-            value = (hi * 16 + symbol).astype(np.uint32)
-            if k == 0:
-                ids[own] = value | (model.recent.take(own * 256 + value) << np.uint32(8))
-                src.settle(lane)
-                at = own
-            else:
-                ids[own] = (ids.take(own) & BYTE) | (value << np.uint32(8))
-        src.settle(at)
-        model.learn(ids, event)
-        grid[t, :active] = ids
-    by_block = np.ascontiguousarray(grid.T)
-    return [by_block[i, : lengths[i]] for i in range(len(lengths))]
+        """Ids that order 2 and order 1 predict, and the context of the event."""
+        self.at2 = ((self.last * STEP1 + self.older * STEP2) >> 15) & ((1 << SLOT_BITS) - 1)
+        self.s2, self.s1 = self.second.take(self.at2), self.first.take(self.last)
+        guess2, guess1 = self.s2 & ID, self.s1 & ID
+        context = ((self.s2 >> 16) << 4) + ((self.s1 >> 16) << 2) + self.hit
+        context += (guess2 == guess1) * 2
+        return guess2, guess1, context
+
+    def learn(self, ids: np.ndarray, cell: np.ndarray, event: np.ndarray, right2: np.ndarray, right1: np.ndarray, own: np.ndarray) -> None:
+        top = SURE << 16
+        self.second[self.at2] = np.where(right2, np.minimum(self.s2 + UNIT, ids + top), ids)
+        self.first[self.last] = np.where(right1, np.minimum(self.s1 + UNIT, ids + top), ids)
+        self.older, self.last, self.hit = self.last, ids, (event < 2).astype(np.int64)
+        self.cells.append(cell)
+        self.unpredicted.append(own)
+        self.steps += 1
+        if self.steps == self.wait:
+            self.mixer.learn(np.concatenate(self.cells))
+            self.order0.learn(np.concatenate(self.unpredicted))
+            self.cells, self.unpredicted = [], []
+            self.steps, self.wait = 0, min(2 * self.wait, LONGEST_WAIT)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    lanes, steps = shape(len(ids))
+    if not len(ids):
+        return np.zeros(1, "<u4").tobytes()
+    grid = np.zeros(lanes * steps, np.uint16)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T).astype(np.int64)
+    model = Model(lanes)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << RANGE_BITS, np.int64)
+    out_lane, out_word = [], []
+    for now in grid:
+        guess2, guess1, cell = model.predict()
+        mixer, order0 = model.mixer, model.order0
+        right2, right1 = guess2 == now, guess1 == now
+        own = (~(right2 | right1)).nonzero()[0]
+        own_ids = now.take(own)
+        own_place = order0.place.take(own_ids)
+        event = right1.astype(np.int64)
+        event[own] = (own_place >> 2 * FIELD) + 2
+        np.putmask(event, right2, 0)
+        cell = (cell << 2) + event
+        place = mixer.place.take(cell)
+        unit = span >> EVENT_BITS
+        low += unit * (place >> FIELD)
+        span = unit * (place & LOW)
+        unit = span.take(own) >> ORDER0_BITS
+        low[own] += unit * (own_place >> FIELD & LOW)
+        span[own] = unit * (own_place & LOW)
+        need = (span < LEAST_RANGE).nonzero()[0]
+        while len(need):
+            lo = low.take(need)
+            out_lane.append(need.astype(np.uint16))
+            out_word.append(lo >> 32)  # with a carry perhaps, which is settled at the end
+            low[need] = (lo & 0xFFFFFFFF) << WORD
+            wider = span.take(need) << WORD
+            span[need] = wider
+            need = need[wider < LEAST_RANGE]
+        model.learn(now, cell, event, right2, right1, own_ids)
+    every = np.arange(lanes, dtype=np.uint16)
+    for _ in range(3):
+        out_lane.append(every)
+        out_word.append(low >> 32)
+        low = (low & 0xFFFFFFFF) << WORD
+    lane, word = np.concatenate(out_lane), np.concatenate(out_word)
+    order = np.argsort(lane, kind="stable")
+    word = word[order]
+    while len(over := np.flatnonzero(word > ID)):
+        word[over] &= ID
+        word[over - 1] += 1  # a lane's value stays below one, so its first word takes no carry out
+    head = np.concatenate([[lanes], np.bincount(lane, minlength=lanes)]).astype("<u4")
+    return head.tobytes() + word.astype("<u2").tobytes()
+
+
+def decode_block(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of a block; damaged bytes give other ids or a ValueError."""
+    lanes, steps = shape(n)
+    if not n:
+        return np.zeros(0, np.uint16)
+    head = np.frombuffer(raw, "<u4", 1 + lanes) if len(raw) >= 4 * (1 + lanes) else np.zeros(1, "<u4")
+    sizes = head[1:].astype(np.int64)
+    if head[0] != lanes or len(raw) != 4 * (1 + lanes) + 2 * sizes.sum():
+        raise ValueError("a block of token ids has other lanes than its size tells")
+    words = np.concatenate([np.frombuffer(raw, "<u2", offset=4 * (1 + lanes)).astype(np.int64), np.zeros(4, np.int64)])
+    place = np.cumsum(sizes) - sizes
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = (code << WORD) | words.take(place, mode="clip")
+        place += 1
+    model, span = Model(lanes), np.full(lanes, 1 << RANGE_BITS, np.int64)
+    grid = np.zeros((steps, lanes), np.uint16)
+    top, u64 = (1 << EVENT_BITS) - 1, np.uint64
+    for t in range(steps):
+        guess2, guess1, context = model.predict()
+        mixer, order0 = model.mixer, model.order0
+        unit = span >> EVENT_BITS
+        at = np.minimum((code.view(u64) // unit.view(u64)).view(np.int64), top)
+        event = mixer.event_at.take((context << EVENT_BITS) + at)
+        cell = (context << 2) + event
+        spot = mixer.place.take(cell)
+        code -= unit * (spot >> FIELD)
+        span = unit * (spot & LOW)
+        now = np.where(event == 0, guess2, guess1)
+        own = (event > 1).nonzero()[0]
+        unit = span.take(own) >> ORDER0_BITS
+        rest = code.take(own)
+        at = np.minimum((rest.view(u64) // unit.view(u64)).view(np.int64), ID)
+        own_ids = np.where(event.take(own) == 2, order0.id_at.take(at), at)
+        spot = order0.place.take(own_ids)
+        code[own] = rest - unit * (spot >> FIELD & LOW)
+        span[own] = unit * (spot & LOW)
+        now[own] = own_ids
+        need = (span < LEAST_RANGE).nonzero()[0]
+        while len(need):
+            from_ = place.take(need)
+            code[need] = (code.take(need) << WORD) | words.take(from_, mode="clip")
+            place[need] = from_ + 1
+            wider = span.take(need) << WORD
+            span[need] = wider
+            need = need[wider < LEAST_RANGE]
+        model.learn(now, cell, event, guess2 == now, guess1 == now, own_ids)
+        grid[t] = now
+    return np.ascontiguousarray(grid.T).ravel()[:n]
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -7,8 +7,8 @@ first-fit decreasing, where a tournament tree over the bins' free room finds the
 fits in logarithmic time. Groups have a fixed expected size whatever the input, so no task holds
 more than a few groups' rows, and a document of any length spreads over many groups.
 
-Defined results: null or empty text has the end id alone; repeated ids are documents of their
-own; an empty table gives an empty result; extra columns are ignored.
+Defined results: null or empty text has the end id alone; rows that repeat an id or have a null
+one are documents of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,24 +66,20 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int) -> DataFram
     """A row for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = cached(vocabulary)
+        tokens, end = cached(vocabulary), np.array([end_id], "<u4")
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(tokens.encode(text.as_py()), tokens.dtype).astype("<u4")
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), room):
-                    part = ids[start : start + room]
-                    out.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
-                if len(out) >= 1 << 14:
-                    yield rows(out)
-                    out = []
-            if out:
-                yield rows(out)
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+            at, start, length, crc, whole = [], [], [], [], []
+            for row, found in enumerate(tokens.encode_all(batch.column(1))):
+                ids = np.concatenate([found, end], dtype="<u4")
+                for first in range(0, len(ids), room):
+                    part = ids[first : first + room]
+                    at.append(row)
+                    start.append(first)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                    whole.append(len(ids))
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, whole))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     return texts.mapInArrow(run, PIECES)
@@ -94,14 +89,15 @@ def pack(
     docs: DataFrame, vocabulary: str, end_id: int = 1, room: int = 2048, group_pieces: int = 4096, seed: int = 11
 ) -> DataFrame:
     """The pieces of all documents with ``sequence_id`` and ``offset``."""
-    cut = materialise(pieces(docs, vocabulary, end_id, room), "packing-pieces")
-    count = cut.count()
-    groups = max(1, -(-count // group_pieces))
+    # The number of a written row deals it out, so that no id, null or repeated, fills a group.
+    cut = materialise(pieces(docs, vocabulary, end_id, room).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
+    groups = max(1, -(-cut.count() // group_pieces))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("row", "ascending")])
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), room)
-        return group.assign(sequence_id=group["g"].to_numpy() * (1 << 32) + bins, offset=offsets).drop(columns="g")
+        sequence = group["g"].to_numpy() * (1 << 32) + bins
+        return group.drop_columns(["g", "row"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(run, PIECES + ", sequence_id long, offset long")

@@ -1,11 +1,17 @@
-"""Exact whole-text encoding through a bounded per-worker cache of words.
-
-Both kinds of vocabulary here cut a text into pieces before merging bytes, and no piece runs
-from a non-space into a space. So a text may be cut wherever a space follows a non-space, and
-its ids are those of its parts in order. A lone line end between two non-spaces is a piece of
-its own, and so are the letters and the final marks of a part such as "word.". Parts repeat, so most ids come from the cache; the tokenizers
-library makes the rest: its merge model for plain letters, its whole pipeline for other parts.
-What the cache holds never changes a result.
+"""Exact whole-text encoding: parts are found in Arrow, each distinct part is encoded once.
+
+Both kinds of vocabulary here cut a text into pieces before merging bytes, so a text may be cut
+where a piece is bound to end, and its ids are those of its parts in order. Cuts are made at line
+ends, before spaces and between a letter and one of ``MARKS``; Arrow makes them for a whole slice
+of texts, ``dictionary_encode`` leaves the slice's distinct parts, and their ids are gathered by
+numpy. Ids of a part come from a bounded cache of the worker or from the tokenizers library: its
+merge model for plain letters, its whole pipeline for other parts. What the cache holds never
+changes a result.
+
+A run of white space is one piece but for its last character. So runs of two are cut as well as
+lone spaces, but a text with longer runs, with a run at its end or with white space beyond the
+ASCII kinds is cut more carefully, and one that holds a special token's string is left whole to
+the library, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -14,15 +20,22 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-_RUN = re.compile(r"\s\s")
+SEP = "\x1f"
 #: Marks after a word's letters; no apostrophe, which can begin a contraction.
 MARKS = ".,;:!?#*$%&|<>"
+#: A letter that stays one letter in lower case, and a mark.
+_LETTER_MARK = r"([\p{Ll}A-Z])([.,;:!?#*$%&|<>])"
+_CAREFUL = r"\s\s\s|\s\s\z|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,97 +46,135 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Parts(dict):
-    """Ids of parts; two generations, so that frequent parts outlive a full cache."""
+def slices(column: pa.Array, most_bytes: int = 16 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of a column of texts, of about ``most_bytes`` or a single text, with their first row."""
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        upto = (sizes[start - 1] if start else 0) + most_bytes
+        end = max(start + 1, int(np.searchsorted(sizes, upto, side="right")))
+        yield start, column.slice(start, end - start)
+        start = end
+
+
+def strings(column: pa.Array, sep: str) -> list[str]:
+    """The strings of a column (none null, none with ``sep``), by one conversion."""
+    if not len(column):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), sep)[0].as_py().split(sep)
+
 
-    def __init__(self, owner: CachedTokenizer, space: str, entries: int):
+def gathered(found: list[bytes], code: np.dtype, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``at`` of a list of coded ids one after another, and where each ends."""
+    size = np.fromiter(map(len, found), np.int64, len(found)) // code.itemsize
+    start = np.cumsum(size) - size
+    pool = np.frombuffer(b"".join(found), code)
+    n = size[at]
+    ends = np.cumsum(n)
+    place = np.repeat(start[at] - (ends - n), n)
+    place += np.arange(len(place))
+    return pool[place], ends
+
+
+class Kept(dict):
+    """Values that ``make(key)`` gives, in two generations, so that frequent keys outlive a full cache."""
+
+    def __init__(self, make: Callable, entries: int):
         super().__init__()
-        self.owner, self.space, self.half, self.older = owner, space, max(1, entries // 2), {}
-
-    def __missing__(self, part: str) -> bytes:
-        if part in self.older:
-            found = self.older[part]
-        else:
-            found, keep = self.owner.make(self, part)
-            if not keep:
-                return found
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        self[part] = found
+        self.make, self.half, self.older = make, max(1, entries // 2), {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
 class CachedTokenizer:
-    """``encode(text)`` gives a text's ids as little-endian integers of ``dtype`` in bytes."""
+    """``encode_all(texts)`` gives the ids of each text as arrays of ``dtype``."""
 
-    def __init__(self, path: str, entries: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, entries: int = 1_500_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lower = spec["normalizer"] is not None  # lower case, white space dropped
-        self.spaced = not self.lower  # else the space before a word belongs to it
         known = {"Sequence", "ByteLevel"}
         if spec["pre_tokenizer"]["type"] not in known or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: not a byte-level merge vocabulary")
+        self.special = [t["content"] for t in spec["added_tokens"]]
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
-        self.model, self.letters, self.longest = self.tokenizer.model, byte_letters(), longest
-        self.marks: dict[str, bytes] = {}
-        self.first = _Parts(self, "", max(2, entries // 4))  # parts without a space before them
-        self.words = _Parts(self, " ", entries) if self.spaced else self.first
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.parts = Kept(self.make, entries)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def mark(self, marks: str) -> bytes:
-        found = self.marks.get(marks)
-        if found is None:
-            found = self.whole(marks)
-            if len(self.marks) < 4096 and len(marks) < 16:
-                self.marks[marks] = found
-        return found
+    def merged(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def make(self, part: str) -> bytes:
+        if not part:
+            return b""
+        space = not self.lower and part[0] == " "
+        word = part[1:] if space else part
+        if not word.isalpha():
+            return self.whole(part)
+        if word.isascii():
+            return self.merged("\u0120" + word if space else word.lower() if self.lower else word)  # the byte alphabet's space
+        if self.lower:
+            word = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+            if not word.isalpha():
+                return self.whole(part)
+        return self.merged((" " * space + word).encode().decode("latin-1").translate(self.letters))
+
+    def careful(self, text: str) -> np.ndarray:
+        """One text, cut only where a space follows a non-space."""
+        if any(x in text for x in self.special):
+            return np.frombuffer(self.whole(text), self.dtype)
+        parts = _CUT.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
+        space = "" if self.lower else " "
+        found = [self.whole(parts[0]), *(self.parts[space + x] for x in parts[1:])]
+        return np.frombuffer(b"".join(found), self.dtype)
 
-    @staticmethod
-    def lowered(word: str) -> str:
-        """A word as the normaliser leaves it; it may then end with a mark that joins others."""
-        return word if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-
-    def make(self, parts: _Parts, part: str) -> tuple[bytes, bool]:
-        """Ids of a part, and whether to keep them."""
-        word = part if part.isalpha() else part.rstrip(MARKS)
-        if word is not part and word.isalpha() and len(word) < len(part) and (not self.lower or self.lowered(word).isalpha()):
-            return parts[word] + self.mark(part[len(word) :]), False
-        keep = len(part) <= self.longest
-        if not part.isalpha():
-            return self.whole(parts.space + part), keep
-        if part.isascii():
-            if self.lower:
-                word = part.lower()
-                if word != part:
-                    return parts[word], False
-            letters = "\u0120" + word if parts.space else word  # the byte alphabet's space
-        else:
-            if self.lower:
-                word = self.lowered(part)
-                if not word.isalpha():
-                    return self.whole(part), keep
-            letters = (parts.space + word).encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes(), keep
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        if self.lower:
+            texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+            return pc.split_pattern(pc.replace_substring_regex(texts, _LETTER_MARK, r"\1 \2"), " ")
+        texts = pc.replace_substring_regex(texts, _LETTER_MARK, rf"\1{SEP}\2")
+        texts = pc.replace_substring(pc.replace_substring(texts, "\n", f"{SEP}\n{SEP}"), " ", f"{SEP} ")
+        return pc.split_pattern(texts, SEP)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (none null), in order."""
+        for _, part in slices(texts):
+            apart = pc.match_substring(part, self.special[0]) if self.special else pa.array(np.zeros(len(part), bool))
+            for x in self.special[1:]:
+                apart = pc.or_(apart, pc.match_substring(part, x))
+            if not self.lower:
+                apart = pc.or_(apart, pc.match_substring_regex(part, _CAREFUL))
+            apart = apart.to_numpy(zero_copy_only=False)
+            lists = self.cut(part.filter(pa.array(~apart)) if apart.any() else part)
+            coded = lists.flatten().dictionary_encode()
+            found = [self.parts[x] for x in strings(coded.dictionary, " " if self.lower else SEP)]
+            ids, ends = gathered(found, self.dtype, coded.indices.to_numpy())
+            edges = lists.offsets.to_numpy()
+            upto = np.concatenate([[0], ends])[edges - edges[0]].tolist()
+            k = 0
+            for i, other in enumerate(apart.tolist()):
+                if other:
+                    yield self.careful(part[i].as_py())
+                else:
+                    yield ids[upto[k] : upto[k + 1]]
+                    k += 1
 
     def encode(self, text: str) -> bytes:
-        if self.lower:
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-        if not _RUN.search(text) and text[-1:] != "\n":
-            # Lines of words: every line begins without a space.
-            out, end = [], self.mark("\n")
-            for line in text.split("\n"):
-                words = line.split(" ")
-                out += (self.first[words[0]], *map(self.words.__getitem__, words[1:]), end)
-            return b"".join(out[:-1])
-        parts = _CUT.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
-        return self.whole(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
+        return next(self.encode_all(pa.array([text], pa.string()))).tobytes()
 
 
 _WORKER: dict[str, CachedTokenizer] = {}

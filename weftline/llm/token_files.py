@@ -1,15 +1,15 @@
 """Binary token-id files: written in ascending doc_id order, read back whole.
 
-File: the magic ``WIDS0001``; blocks; the document index; a trailer. A block is its id count,
+File: the magic ``WIDS0002``; blocks; the document index; a trailer. A block is its id count,
 byte count and the CRC-32 of its ids (three unsigned 32-bit integers, little-endian), then the
-coded bytes (``id_codec``). Blocks run across documents, hold ``block_ids`` ids each (in a file's
-last group fewer, the last block least), and are reset, so each can be decoded alone. The index is the zlib-compressed pairs
-(doc_id, id count) as signed 64-bit integers; the trailer is the index's offset and size and the
-file's document and id counts as four unsigned 64-bit integers.
+coded bytes (``id_codec``). Blocks run across documents, hold ``block_ids`` ids each (a file's last
+block fewer) and are reset, so each can be decoded alone; one block is held at a time. The index is
+the zlib-compressed pairs (doc_id, id count) as signed 64-bit integers; the trailer is the index's
+offset and size and the file's document and id counts as four unsigned 64-bit integers.
 
 Texts are range-partitioned by doc_id, so each task writes a file of consecutive documents; a
 written manifest (a row for each file) gives each file's first id number by a running sum.
-Encoder and decoder work in groups of ``lanes`` blocks, which bounds their memory.
+Texts that share a doc_id are in one file, in the order of their hash.
 
 Defined results: null or empty text is the end id alone; rows that repeat a doc_id follow each
 other in the order of their text's hash; null ids come first; an empty table writes no file and
@@ -35,18 +35,17 @@ from weftline.llm.common import materialise, text_column, work_path
 from weftline.llm.files import opened, reading, writing
 from weftline.llm.token_cache import cached
 
-MAGIC = b"WIDS0001"
+MAGIC = b"WIDS0002"
 BLOCK, TRAILER = struct.Struct("<III"), struct.Struct("<QQQQ")
-LEAST_BLOCK, LEAST_LANES = 256, 2048
 MANIFEST = "file string, part int, docs long, ids long"
 NO_DOC = -(1 << 63)  # stands for a null doc_id in the index
 
 
 class FileWriter:
-    """Blocks of one file, coded a group at a time."""
+    """Blocks of one file."""
 
-    def __init__(self, out, block_ids: int, lanes: int):
-        self.out, self.block_ids, self.lanes = out, block_ids, lanes
+    def __init__(self, out, block_ids: int):
+        self.out, self.block_ids = out, block_ids
         self.held: list[np.ndarray] = []
         self.waiting = self.ids = 0
         self.index: list[tuple[int, int]] = []
@@ -57,21 +56,16 @@ class FileWriter:
         self.held.append(ids)
         self.waiting += len(ids)
         self.ids += len(ids)
-        if self.waiting >= self.block_ids * self.lanes:
+        if self.waiting >= self.block_ids:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.zeros(0, np.uint16)
-        size = self.block_ids * self.lanes
-        ready = len(flat) if last else len(flat) // size * size
-        for start in range(0, ready, size):
-            part = flat[start : min(start + size, ready)]
-            # A step of the coder costs much the same for few lanes as for many, so a small group
-            # is cut into shorter blocks.
-            block = min(self.block_ids, max(LEAST_BLOCK, -(-len(part) // LEAST_LANES)))
-            blocks = [part[i : i + block] for i in range(0, len(part), block)]
-            for b, coded in zip(blocks, id_codec.encode_blocks(blocks), strict=True):
-                self.at += self.out.write(BLOCK.pack(len(b), len(coded), id_codec.checksum(b)) + coded)
+        ready = len(flat) if last else len(flat) // self.block_ids * self.block_ids
+        for start in range(0, ready, self.block_ids):
+            part = flat[start : min(start + self.block_ids, ready)]
+            coded = id_codec.encode_block(part)
+            self.at += self.out.write(BLOCK.pack(len(part), len(coded), id_codec.checksum(part)) + coded)
         self.held = [flat[ready:].copy()] if ready < len(flat) else []
         self.waiting = len(flat) - ready
 
@@ -95,26 +89,22 @@ def read_index(uri: str) -> tuple[np.ndarray, int]:
     return index, at
 
 
-def read_blocks(source: io.RawIOBase, end: int, lanes: int) -> Iterator[np.ndarray]:
-    """The ids of an open file in order, a group of blocks at a time."""
+def read_blocks(source: io.RawIOBase, end: int) -> Iterator[np.ndarray]:
+    """The ids of an open file in order, block by block."""
     if source.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token-id file")
     at = len(MAGIC)
     while at < end:
-        heads, coded = [], []
-        while at < end and len(coded) < lanes:
-            heads.append(BLOCK.unpack(source.read(BLOCK.size)))
-            coded.append(source.read(heads[-1][1]))
-            at += BLOCK.size + heads[-1][1]
-        found = id_codec.decode_blocks(coded, [h[0] for h in heads])
-        for h, ids in zip(heads, found, strict=True):
-            if id_codec.checksum(ids) != h[2]:
-                raise ValueError("a block of token ids has the wrong checksum")
-        yield np.concatenate(found)
+        n, size, crc = BLOCK.unpack(source.read(BLOCK.size))
+        ids = id_codec.decode_block(source.read(size), n)
+        if id_codec.checksum(ids) != crc:
+            raise ValueError("a block of token ids has the wrong checksum")
+        at += BLOCK.size + size
+        yield ids
 
 
 def write_ids(
-    docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, block_ids: int = 2048, lanes: int = 4096, text_bytes: int = 16 << 20
+    docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, block_ids: int = 1 << 21, text_bytes: int = 16 << 20
 ) -> DataFrame:
     """Write every document's ids to files in ``folder``; returns the written manifest."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
@@ -124,15 +114,15 @@ def write_ids(
         tokens = cached(vocabulary)
         if tokens.dtype.itemsize != 2:
             raise ValueError("the coder takes ids below 65536")
+        end = np.array([end_id], np.uint16)
         uri, writer, entry = f"{folder}/ids-{uuid.uuid4().hex}.wids", None, None
         try:
             for batch in batches:
-                for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                for doc, found in zip(batch.column(0).to_pylist(), tokens.encode_all(batch.column(1)), strict=True):
                     if writer is None:
                         entry = writing(uri)
-                        writer = FileWriter(entry.__enter__(), block_ids, lanes)
-                    ids = np.frombuffer(tokens.encode(text.as_py()), tokens.dtype)
-                    writer.add(doc.as_py(), np.append(ids, np.uint16(end_id)).astype(np.uint16))
+                        writer = FileWriter(entry.__enter__(), block_ids)
+                    writer.add(doc, np.concatenate([found, end]))
             if writer is not None:
                 writer.close()
                 entry.__exit__(None, None, None)
@@ -150,7 +140,7 @@ def write_ids(
     return materialise(dealt.mapInArrow(run, MANIFEST), "ids-manifest")
 
 
-def read_ids(spark: SparkSession, manifest: DataFrame, lanes: int = 4096) -> DataFrame:
+def read_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files alone."""
     files = manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
 
@@ -163,7 +153,7 @@ def read_ids(spark: SparkSession, manifest: DataFrame, lanes: int = 4096) -> Dat
                 crcs = np.zeros(len(index), np.int64)
                 doc, left, crc = 0, int(counts[0]) if len(counts) else 0, 0
                 with reading(uri) as source:
-                    for ids in read_blocks(source, end, lanes):
+                    for ids in read_blocks(source, end):
                         raw, at = memoryview(ids.astype("<u4").tobytes()), 0
                         while at < len(ids):
                             take = min(left, len(ids) - at)
