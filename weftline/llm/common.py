@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -26,13 +25,8 @@ def vocabulary(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_weftline_dir", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-            spark._weftline_dir = base
+    """The cluster's shared folder; the warehouse, which is shared too, where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return base.rstrip("/")
 
 
@@ -76,8 +70,9 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     """Connected components of undirected ``edges(u long, v long)``.
 
     Alternating large-star and small-star rounds: each is one partial-aggregated ``min`` by
-    node and one equi-join, so no component is ever gathered in a task; the number of rounds
-    grows with the logarithm of the largest component. Returns ``(id, component_id)`` for all
+    node and one equi-join; the number of rounds grows with the logarithm of the largest
+    component. A node with a thousandth of all edges (1000 at least) is a hub: there are 2000 at
+    most, and their rows find their minimum by a broadcast, so that no task gathers them. Returns ``(id, component_id)`` for all
     nodes that have an edge, where ``component_id`` is the smallest id reachable. Self-loops
     and repeated edges are allowed; no edges give an empty result.
     """
@@ -86,6 +81,13 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
     )
 
+    def with_low(both: DataFrame, low: DataFrame, found: list) -> DataFrame:
+        if not found:
+            return both.join(low, "u")
+        hubs = F.broadcast(spark.createDataFrame(found, "u long, m long"))
+        others = both.join(hubs, "u", "left_anti").join(low.join(hubs, "u", "left_anti"), "u")
+        return others.unionByName(both.join(hubs, "u"))
+
     def checksum(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -94,11 +96,14 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         if not before[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        found = low.where(F.col("n") >= max(1000, before[0] // 1000)).select("u", "m").collect()
+        met = with_low(both, low.drop("n"), found)
+        low = low.drop("n")
+        large = met.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Nodes whose larger neighbours moved away keep their own link to the minimum.
         large = large.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_min = large.groupBy("u").agg(F.min("v").alias("m"))  # few rows a node: its minima of before
         small = large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(small_min.select("u", F.col("m").alias("v")))
         nxt = materialise(small.distinct(), name)

@@ -1,43 +1,55 @@
 """Piece encoding and decoding as shortest paths of weighted finite-state transducers.
 
-Compiled from a SentencePiece model file: a normaliser (spaces become U+2581, with one before the
-text), a piece transducer over a character trie, and a byte fallback for characters that no
-piece spells. An input is composed with them position by position; in the tropical semiring a
-path's weight is the sum of its pieces' costs and the best path is the encoding.
-
-* Unigram models: one state, cost = minus the piece's score; the shortest path is the most
-  probable segmentation.
-* Merge (BPE) models: plain costs can't give the merge order, so the transducer's states are
-  the pieces themselves: an arc for piece t leaves state s only if merging s + t gives back
-  s, t. A sequence of pieces is the merge result exactly if all neighbours are compatible, so one
-  path is left and the shortest path equals the model's own encoding. Arcs are built when they
-  are first needed and kept.
-
-Pieces hold U+2581 only in front, so texts fall into words whose paths are found once and kept in
-a bounded per-worker cache. Normalisers with a character map are rejected.
-
-Defined results: null or empty text has no pieces; a literal U+2581 decodes as a space; rows
-that repeat an id are encoded each; an empty table gives an empty result.
+Compiled from a SentencePiece model file:
+
+* Normaliser: a transducer over a character trie. At each place it reads the longest key of the
+  model's character map and writes its replacement, or copies a character; spaces are squeezed
+  and one is put in front if the model says so, and each becomes U+2581.
+* Pieces: a trie whose arcs read a piece's characters and write its id, with a weight of minus the
+  piece's score; user-defined pieces weigh less than any path around them.
+* Fallback: an arc for each character that is no piece, which writes its bytes or the unknown id.
+
+An input is composed with them place by place. ``shortest_path`` finds the path of least weight in
+the tropical semiring (weights of a path add up, of two paths the lesser counts), over pairs of a
+place and a state, for both kinds of model:
+
+* Unigram models have one state, so the path is the most probable segmentation.
+* Merge (BPE) models have the last piece as state. The model merges the best-scored neighbours
+  first, which no weights by piece alone give. But a sequence of pieces is the merge result exactly
+  if each two neighbours are what their own text merges to. So an arc to a piece weighs infinity,
+  the semiring's zero, where that fails, and the one path of finite weight is the encoding.
+
+No piece holds certain pairs of characters, so no arc of the composition crosses them, and the
+shortest path is that of the parts in between. Parts recur: Arrow finds the distinct ones of a
+slice of texts, a bounded cache of the worker keeps their paths, and a text's ids are gathered.
+
+Defined results: null or empty text has no pieces; a literal U+2581 decodes as a space; rows that
+repeat an id or have a null one are encoded each; an empty table gives an empty result; other
+columns are ignored. Of paths of equal weight the one whose last piece begins first is taken.
 """
 
 from __future__ import annotations
 
-import re
+import math
+import operator
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_column
+from weftline.llm.token_cache import SEP, Kept, gathered, slices, strings
 
 SPACE = "▁"
-NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NORMAL, UNKNOWN, CONTROL, OWN, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, MERGES = 1, 2
-_CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
+START = ""  # state before the first piece
 COLUMNS = "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, cost double, round_trip boolean"
 
 
@@ -76,8 +88,9 @@ class PieceModel:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.kind, self.byte_fallback = UNIGRAM, False
+        self.kind, self.byte_fallback, self.map = UNIGRAM, False, b""
         self.dummy_prefix, self.squeeze, self.escape = True, True, True
+        suffix = False
         for number, value in _fields(raw):
             if number == 1:
                 piece = dict(_fields(value))
@@ -86,135 +99,215 @@ class PieceModel:
                 self.kinds.append(piece.get(3, NORMAL))
             elif number == 2:
                 spec = dict(_fields(value))
-                self.kind, self.byte_fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
+                self.kind, self.byte_fallback, suffix = spec.get(3, UNIGRAM), bool(spec.get(35, 0)), bool(spec.get(24, 0))
             elif number == 3:
                 spec = dict(_fields(value))
                 self.dummy_prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-                if spec.get(2):
-                    raise ValueError("a normaliser with a character map is not supported")
-        if self.kind not in (UNIGRAM, MERGES) or not self.escape:
-            raise ValueError("unigram and merge models that escape spaces are supported")
+                self.map = spec.get(2, b"")
+        if self.kind not in (UNIGRAM, MERGES) or not self.escape or suffix:
+            raise ValueError("unigram and merge models that escape spaces and put them in front are supported")
+        if set(self.kinds) - {NORMAL, UNKNOWN, CONTROL, OWN, BYTE}:
+            raise ValueError("unused pieces are not supported")
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """Keys and replacements of a compiled character map: the size of a double-array trie, its
+    units (32 bits, little-endian), then the replacements, each ended by a zero byte.
+
+    A unit holds its label in the low byte, whether a value follows in bit 8, and its offset in
+    the bits from 10 on, times 256 if bit 9 is set; the value unit's low 31 bits are the place
+    of the replacement."""
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    out: dict[str, str] = {}
+
+    def children(at: int) -> int:
+        unit = units[at]
+        return at ^ ((unit >> 10) << (8 if unit >> 9 & 1 else 0))
+
+    stack = [(0, b"")]
+    while stack:
+        at, key = stack.pop()
+        base = children(at)
+        if units[at] >> 8 & 1:
+            place = units[base] & 0x7FFFFFFF
+            out[key.decode()] = texts[place : texts.index(b"\0", place)].decode()
+        for label in range(1, 256):
+            to = base ^ label
+            if to < len(units) and units[to] & 0x800000FF == label:
+                stack.append((to, key + bytes([label])))
+    return out
+
+
+def trie_of(entries: dict[str, object]) -> dict:
+    """Nested dicts by character; what a key stands for lies under the empty string."""
+    root: dict = {}
+    for key, value in entries.items():
+        node = root
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = value
+    return root
+
+
+def longest(trie: dict, text: str, at: int) -> tuple[int, object]:
+    """Where the longest key at a place ends and what it stands for; (at, None) without one."""
+    node, found = trie, (at, None)
+    for i in range(at, len(text)):
+        node = node.get(text[i])
+        if node is None:
+            break
+        if "" in node:
+            found = i + 1, node[""]
+    return found
 
 
 class Transducer:
-    """Normaliser, pieces and byte fallback of one model."""
-
-    def __init__(self, model: PieceModel, arcs: int = 2_000_000):
-        self.model, self.arc_limit = model, arcs
-        self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == NORMAL}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("pieces with an inner space are not supported")
-        self.merging = model.kind == MERGES
+    """Normaliser, pieces and fallback of one model, compiled."""
+
+    def __init__(self, model: PieceModel, most_states: int = 100_000):
+        self.model, self.merging, self.most_states = model, model.kind == MERGES, most_states
+        # The public unigram encoder adds in single precision, which decides between near equals.
+        self.plus = operator.add if self.merging else lambda a, b: float(np.float32(a) + np.float32(b))
+        kinds = list(enumerate(zip(model.pieces, model.kinds, strict=True)))
+        self.ids = {p: i for i, (p, k) in kinds if k in (NORMAL, OWN)}
+        self.own = [p for _, (p, k) in kinds if k == OWN]
         self.unknown = model.kinds.index(UNKNOWN)
-        self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
+        self.bytes = {int(p[1:-1], 16): i for i, (p, k) in kinds if k == BYTE}
         self.score = {p: model.scores[i] for p, i in self.ids.items()}
-        # An unspelt character costs more than any piece, as in the public unigram encoder.
-        self.unknown_cost = 10.0 - min(self.score.values(), default=0.0)
-        self.trie: dict = {}
-        for p in self.ids:
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = p
-        self.allowed: dict[tuple[str, str], bool] = {}
+        normal = [model.scores[i] for i, (_, k) in kinds if k == NORMAL]
+        # An unspelt character costs more than any piece, a user-defined piece less than its
+        # characters, as in the public unigram encoder.
+        self.unknown_cost = 10.0 - min(normal, default=0.0)
+        if not self.merging:
+            self.score |= {p: len(p.encode()) * max(normal, default=0.0) - 0.1 for p in self.own}
+        self.trie = trie_of({p: p for p in self.ids})
+        self.own_trie = trie_of({p: p for p in self.own})
+        self.map = character_map(model.map)
+        self.map_trie = trie_of(self.map)
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.spelt = {c for p in self.ids for c in p}
+        self.known: dict[str, dict[str, bool]] = {}
+
+    # The normaliser.
+
+    def mapped(self, text: str) -> Iterator[str]:
+        """What the character map makes of a text, one read key or character at a time."""
+        at = 0
+        while at < len(text):
+            end, kept = longest(self.own_trie, text, at)
+            if kept is None:
+                end, kept = longest(self.map_trie, text, at)
+            if kept is None:
+                end, kept = at + 1, text[at]
+            yield kept
+            at = end
+
+    def normalise(self, text: str) -> str:
+        model = self.model
+        parts = self.mapped(text) if self.map or self.own else iter(text)
+        if not model.squeeze:
+            whole = "".join(parts)
+            return (" " * model.dummy_prefix + whole).replace(" ", SPACE) if whole or text else ""
+        out, spaced = [], True  # no space at the start or after another
+        for part in parts:
+            kept = part.lstrip(" ") if spaced else part
+            if kept:
+                out.append(kept)
+                spaced = kept.endswith(" ")
+        whole = "".join(out).replace(" ", SPACE)
+        return (SPACE * model.dummy_prefix + whole).rstrip(SPACE) if whole else ""
+
+    # Pieces.
 
     def merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbouring pair, the leftmost of equals, until none is a piece."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        parts, get, none = list(text), self.score.get, -math.inf
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
-    def arc(self, state: str, piece: str) -> bool:
-        """Whether the merge transducer has an arc for ``piece`` out of ``state``."""
-        key = (state, piece)
-        found = self.allowed.get(key)
-        if found is None:
-            if len(self.allowed) >= self.arc_limit:
-                self.allowed.clear()
-            found = self.allowed[key] = self.merge(state + piece) == ([state, piece] if state else [piece])
-        return found
-
-    def arcs_from(self, text: str, at: int) -> Iterator[tuple[str, float]]:
-        """Pieces that the composition can read at a position, with their costs."""
-        node, score = self.trie, self.score
-        for c in text[at : at + 1]:
-            if c not in node or "" not in node[c]:
-                yield c, self.unknown_cost
-        for i in range(at, len(text)):
-            node = node.get(text[i])
+    def zero(self, state: str, piece: str) -> bool:
+        """Whether the arc that reads ``piece`` out of ``state`` weighs infinity: not what the two
+        texts merge to."""
+        return self.merging and self.merge(state + piece) != ([state, piece] if state else [piece])
+
+    def zeros(self, state: str) -> dict[str, bool]:
+        """What is known of the arcs out of a state."""
+        if len(self.known) >= self.most_states:
+            self.known.clear()
+        return self.known.setdefault(state, {})
+
+    def arcs(self, text: str, at: int) -> list[tuple[str, float]]:
+        """Pieces that the composition can read at a place, with minus their scores."""
+        node, score, first = self.trie.get(text[at]), self.score, text[at]
+        out = [(first, self.unknown_cost)] if node is None or "" not in node else []
+        for i in range(at + 1, len(text) + 1):
             if node is None:
-                return
+                break
             if "" in node:
-                yield node[""], -score[node[""]]
-
-    def path(self, word: str) -> tuple[list[str], float]:
-        """The shortest path over a word: its pieces and their cost."""
-        return self.merge_path(word) if self.merging else self.cheapest_path(word)
-
-    def cheapest_path(self, word: str) -> tuple[list[str], float]:
-        """Composition with the one-state transducer: best cost and last piece by position."""
-        best: list[tuple[float, str] | None] = [None] * (len(word) + 1)
-        best[0] = (0.0, "")
-        for i in range(len(word)):
-            total = best[i][0]
-            for piece, cost in self.arcs_from(word, i):
-                at = best[i + len(piece)]
-                if at is None or total + cost < at[0]:
-                    best[i + len(piece)] = (total + cost, piece)
-        return self.trace([b[1] for b in best]), best[-1][0]
-
-    def merge_path(self, word: str) -> tuple[list[str], float]:
-        """Composition with the merge transducer. A prefix has one merge result, so one state at
-        most is reached at each position, whatever the costs."""
-        n, trie, allowed = len(word), self.trie, self.allowed
-        state: list[str | None] = [None] * (n + 1)
-        state[0] = ""
-        for i in range(n):
-            here = state[i]
-            if here is None:
+                out.append((node[""], -score[node[""]]))
+            node = node.get(text[i]) if i < len(text) else None
+        return out
+
+    def shortest_path(self, text: str) -> tuple[list[str], float]:
+        """Pieces and weight of the best path through the composition with a text."""
+        n, merging, plus = len(text), self.merging, self.plus
+        # By place and state: the least weight to get there, and the place, state and piece before.
+        reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
+        reached[0][START] = (0.0, 0, START, START)
+        for at in range(n):
+            if not reached[at]:
                 continue
-            node = trie.get(word[i])
-            if (node is None or "" not in node) and state[i + 1] is None and self.arc(here, word[i]):
-                state[i + 1] = word[i]
-            j = i + 1
-            while node is not None:
-                piece = node.get("")
-                if piece is not None and state[j] is None:
-                    ok = allowed.get((here, piece))
-                    if ok if ok is not None else self.arc(here, piece):
-                        state[j] = piece
-                if j == n:
-                    break
-                node = node.get(word[j])
-                j += 1
-        pieces = self.trace(state)
-        get = self.score.get
-        return pieces, sum([self.unknown_cost if (x := get(p)) is None else -x for p in pieces])
-
-    @staticmethod
-    def trace(last: list[str]) -> list[str]:
-        """Pieces from the last one read by each position."""
-        out, at = [], len(last) - 1
+            arcs = self.arcs(text, at)
+            for state, (total, *_) in reached[at].items():
+                zeros = self.zeros(state)
+                for piece, cost in arcs:
+                    zero = zeros.get(piece)
+                    if zero is None:
+                        zero = zeros[piece] = self.zero(state, piece)
+                    if zero:
+                        continue
+                    there, to, new = reached[at + len(piece)], piece if merging else START, plus(total, cost)
+                    if to not in there or new < there[to][0]:
+                        there[to] = (new, at, state, piece)
+        best = min(reached[n], key=lambda s: reached[n][s][0])
+        pieces, at, state, total = [], n, best, reached[n][best][0]
         while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+            _, at, state, piece = reached[at][state]
+            pieces.append(piece)
+        return pieces[::-1], total
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text.replace(SPACE, " ")).strip(" ")
-        if text and self.model.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE)
+    def parts(self, text: str) -> list[str]:
+        """A text cut wherever no arc crosses: between characters that no piece joins, and around
+        user-defined pieces of merge models."""
+        if self.own and self.merging:
+            out, at, held = [], 0, ""
+            while at < len(text):
+                end, kept = longest(self.own_trie, text, at)
+                if kept is None:
+                    held, at = held + text[at], at + 1
+                else:
+                    out, held, at = [*out, *self.joined(held), kept], "", end
+            return out + self.joined(held)
+        return self.joined(text)
+
+    def joined(self, text: str) -> list[str]:
+        pairs, out, start = self.pairs, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                out.append(text[start:i])
+                start = i
+        return [*out, text[start:]] if text else out
 
     def piece_ids(self, piece: str) -> list[int]:
         if piece in self.ids:
@@ -223,92 +316,109 @@ class Transducer:
             return [self.bytes[b] for b in piece.encode()]
         return [self.unknown]
 
-    def decoded(self, ids: list[int]) -> str:
-        """Pieces back to normalised text; runs of byte pieces are read as UTF-8."""
+    # Decoding.
+
+    def decoded(self, ids: list[int], lead: bool = False) -> str:
+        """Pieces back to normalised text; runs of byte pieces are read as UTF-8. With ``lead`` the
+        space that the normaliser put in front goes; all of them where it squeezes."""
         out, pending, model = [], bytearray(), self.model
+        lead = lead and (model.dummy_prefix or model.squeeze)
         for i in ids:
-            if model.kinds[i] == BYTE:
+            kind = model.kinds[i]
+            if kind == BYTE:
                 pending.append(int(model.pieces[i][1:-1], 16))
                 continue
             if pending:
                 out.append(pending.decode(errors="replace"))
                 pending = bytearray()
-            out.append(" ⁇ " if model.kinds[i] == UNKNOWN else "" if model.kinds[i] == CONTROL else model.pieces[i])
+            piece = " ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else model.pieces[i]
+            if lead and piece and not any(out):
+                first, piece = piece[0] == SPACE, piece.removeprefix(SPACE)
+                lead = not first or model.squeeze
+            out.append(piece)
         out.append(pending.decode(errors="replace"))
         return "".join(out)
 
-    def plain(self, normalised: str) -> str:
-        text = normalised.replace(SPACE, " ")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
-
     def decode(self, ids: list[int]) -> str:
-        return self.plain(self.decoded(ids))
-
-
-class _Words(dict):
-    """Ids (bytes), byte pieces, cost and decoded form of words seen so far, in two generations."""
-
-    def __init__(self, machine: Transducer, entries: int = 400_000, longest: int = 64):
-        super().__init__()
-        self.machine, self.half, self.longest, self.older = machine, entries // 2, longest, {}
-
-    def __missing__(self, word: str) -> tuple[bytes, int, float, str]:
-        found = self.older.get(word)
-        if found is None:
-            pieces, cost = self.machine.path(word)
-            ids = [i for p in pieces for i in self.machine.piece_ids(p)]
-            unspelt = sum(self.machine.model.kinds[i] == BYTE for i in ids)
-            found = (np.array(ids, "<u4").tobytes(), unspelt, cost, self.machine.decoded(ids))
-        if len(word) <= self.longest:
-            if len(self) >= self.half:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
-        return found
+        return self.decoded(ids, lead=True).replace(SPACE, " ")
 
 
 class Encoder:
-    """Whole texts through the transducer, with the words' paths kept."""
+    """Whole texts through the transducer; paths of words and of their parts are kept."""
 
     def __init__(self, raw: bytes):
         self.machine = Transducer(PieceModel(raw))
-        self.words = _Words(self.machine)
-        #: No piece holds a line end, so it cuts words like a space does.
-        self.lines = "\n" not in self.machine.spelt
-
-    def parts(self, text: str) -> list[str]:
-        """The normalised text in words: cut before each space that follows another character."""
-        whole = self.machine.normalise(text)
-        if not whole:
-            return []
-        if not self.lines:
-            return _CUT.split(whole)
-        out: list[str] = []
-        for k, line in enumerate(whole.split("\n")):
-            if k:
-                out.append("\n")
-            if line:
-                words = line.split(SPACE)
-                if "" not in words[1:]:
-                    out += words[:1] if words[0] else []
-                    out += [SPACE + w for w in words[1:]]
-                else:
-                    out += _CUT.split(line)
-        return out
+        self.paths, self.words = Kept(self.path, 300_000), Kept(self.word, 500_000)
+        model, pairs = self.machine.model, self.machine.pairs
+        #: Spaces and line ends are cut in Arrow, where no piece but a run of spaces crosses them.
+        plain = not any(p[1] == SPACE != p[0] for p in pairs) and not any("\n" in p for p in pairs)
+        self.simple = plain and not model.squeeze and not self.machine.map and not self.machine.own
+        self.byte_ids = set(self.machine.bytes.values())
+        #: A single unknown id stands for unspelt neighbours, so words must not be taken apart.
+        self.fused = not model.byte_fallback
+
+    def path(self, part: str) -> tuple[list[int], float]:
+        """Ids and weight of a part's shortest path."""
+        machine = self.machine
+        if machine.merging and part in machine.own:
+            return [machine.ids[part]], -machine.score[part]
+        pieces, cost = machine.shortest_path(part)
+        return [i for x in pieces for i in machine.piece_ids(x)], cost
+
+    def word(self, word: str) -> tuple[bytes, int, float, bool]:
+        """Ids, byte pieces, weight and whether the ids decode to the word again."""
+        ids, cost = self.encoded(word)
+        return array("I", ids).tobytes(), self.unspelt(ids), cost, self.machine.decoded(ids) == word
+
+    def unspelt(self, ids: list[int]) -> int:
+        return sum(i in self.byte_ids for i in ids)
+
+    def encoded(self, normal: str) -> tuple[list[int], float]:
+        found = [self.paths[x] for x in self.machine.parts(normal)]
+        ids = [i for f in found for i in f[0]]
+        if self.fused:
+            unknown = self.machine.unknown
+            ids = [i for k, i in enumerate(ids) if i != unknown or not k or ids[k - 1] != unknown]
+        return ids, sum(f[1] for f in found)
 
     def encode(self, text: str) -> tuple[list[int], float]:
-        found = [self.words[w] for w in self.parts(text)]
-        return np.frombuffer(b"".join(f[0] for f in found), "<u4").tolist(), sum(f[2] for f in found)
+        return self.encoded(self.machine.normalise(text))
 
     def decode(self, ids: list[int]) -> str:
         return self.machine.decode(ids)
 
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text, normalised: cut at line ends and before a space that begins a
+        word; a run of spaces stays with the word after it."""
+        front = SPACE if self.machine.model.dummy_prefix else ""
+        spaced = pc.replace_substring(texts, " ", SPACE)
+        spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(front), spaced, ""))
+        spaced = pc.replace_substring(spaced, "\n", f"{SEP}\n{SEP}")
+        return pc.split_pattern(pc.replace_substring_regex(spaced, f"({SPACE}+)", rf"{SEP}\1"), SEP)
+
+    def digests(self, texts: pa.Array) -> Iterator[list]:
+        """Pieces, byte pieces, CRC-32 of the ids, weight and round trip of each text, by slices
+        and as columns."""
+        for _, part in slices(texts):
+            if not self.simple or pc.any(pc.match_substring(part, SEP)).as_py():
+                yield [list(c) for c in zip(*map(self.digest, part.to_pylist()), strict=True)]
+                continue
+            lists = self.cut(part)
+            coded = lists.flatten().dictionary_encode()
+            found = [self.words[w] for w in strings(coded.dictionary, SEP)]
+            at, edges = coded.indices.to_numpy(), lists.offsets.to_numpy()
+            edges = edges - edges[0]
+            ids, ends = gathered([f[0] for f in found], np.dtype("<u4"), at)
+            upto = np.concatenate([[0], ends])[edges]
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+            sums = [np.add.reduceat(np.append(np.array([f[k] for f in found])[at], 0), edges[:-1]) for k in (1, 2)]
+            broken = np.add.reduceat(np.append(np.array([not f[3] for f in found], np.int64)[at], 0), edges[:-1])
+            yield [np.diff(upto), sums[0], crc, sums[1].astype(float), broken == 0]
+
     def digest(self, text: str) -> tuple[int, int, int, float, bool]:
-        """Pieces, byte pieces, CRC-32 of the ids, cost, and whether decoding gives the text back."""
-        found = [self.words[w] for w in self.parts(text)]
-        ids = b"".join([f[0] for f in found])
-        back = self.machine.plain("".join([f[3] for f in found]))
-        return len(ids) // 4, sum(f[1] for f in found), zlib.crc32(ids), float(sum(f[2] for f in found)), back == text.replace(SPACE, " ")
+        """The same of one text."""
+        ids, cost = self.encode(text)
+        return len(ids), self.unspelt(ids), zlib.crc32(np.array(ids, "<u4")), float(cost), self.decode(ids) == text.replace(SPACE, " ")
 
 
 _WORKER: dict[str, Encoder] = {}
@@ -323,16 +433,18 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """Counts, id checksum, path cost and round trip of every document's pieces."""
+    """Counts, id checksum, path weight and round trip of every document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(model)
         names = [x.split()[0] for x in COLUMNS.split(", ")]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
         for batch in batches:
-            rows = [(d, *use.digest(t.as_py())) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            row = 0
+            for columns in use.digests(batch.column(1)):
+                n = len(columns[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+                row += n
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     return texts.mapInArrow(run, COLUMNS)

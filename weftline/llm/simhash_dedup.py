@@ -15,8 +15,9 @@ keeps exactly the same components with a bounded number of rows for each member.
 dropped at any cell size.
 
 Defined results: null or empty text has the zero fingerprint and links like any other; repeated
-rows of one id give one fingerprint row each; an empty table gives an empty result; other
-columns of the input are ignored, whatever their names.
+rows of one id give one fingerprint row each; rows with a null id take the class of rows of equal
+fingerprint and link nothing else (alone their class is null); an empty table gives an empty
+result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def classes(fps: DataFrame, max_distance: int = 2, blocks: int = 4) -> DataFrame
     """``(doc_id, fp, component_id)`` for rows ``(doc_id, fp)``; component_id is the smallest id
     reachable by links, the document's own id included."""
     # One row for each fingerprint stands for all its copies, whatever their number.
-    heads = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-heads")
+    heads = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("head"))
+    heads = materialise(heads, "simhash-heads")
     found = links(heads.select("fp"), max_distance, blocks)
     by_head = (
         found.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u")
@@ -139,7 +141,7 @@ def classes(fps: DataFrame, max_distance: int = 2, blocks: int = 4) -> DataFrame
     labelled = heads.join(member, heads["head"] == member["id"], "left").select(
         "fp", F.coalesce("component_id", "head").alias("component_id")
     )
-    return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2, blocks: int = 4) -> DataFrame:
@@ -156,7 +158,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     others' rows and stay."""
     found = simhash_dedup(docs, **options)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 __all__ = ["classes", "fingerprint", "fingerprints", "keep_first", "links", "simhash_dedup"]

@@ -46,7 +46,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def slices(column: pa.Array, most_bytes: int = 16 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Parts of a column of texts, of about ``most_bytes`` or a single text, with their first row."""
     sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
     start = 0
@@ -98,7 +98,7 @@ class Kept(dict):
 class CachedTokenizer:
     """``encode_all(texts)`` gives the ids of each text as arrays of ``dtype``."""
 
-    def __init__(self, path: str, entries: int = 1_500_000):
+    def __init__(self, path: str, entries: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
