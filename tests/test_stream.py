@@ -11,7 +11,7 @@ from weftline.plans import fingerprint as fp
 from weftline.plans import stages, state, verify
 from weftline.plans.loader import BatchStream
 from weftline.sources import iterable, readers
-from weftline.streaming import control
+from weftline.streaming import control, lane_state
 
 
 def source(spark, n):
@@ -74,7 +74,8 @@ def test_sampler_streams(spark):
     s = BatchStream(source(spark, 6), batch_sampler=groups, seed=1)
     assert values(s) == [[40], [20, 20, 0]]
     assert [r["coord"] for r in s.plan().orderBy("batch_id", "offset").collect()] == [0, 1, 2, 3]
-    assert state.sampler_checksum([1, 2]) != state.sampler_checksum([2, 1])
+    swapped = spark.createDataFrame([(0, 3), (1, 3), (2, 5), (3, 0), (4, 1)], "pos long, index long")
+    assert state.positions_checksum(picks, ["pos"]) != state.positions_checksum(swapped, ["pos"]) == state.positions_checksum(swapped.repartition(3), ["pos"])
 
 
 @pytest.mark.parametrize(
@@ -201,11 +202,11 @@ def test_frontier_and_ring():
     assert f.stall() and f.depth == 8 and f.growths == 2
     with pytest.raises(RuntimeError):
         f.dispatch(2)
-    ring = control.SnapshotRing(depth=3, max_bytes=4)
-    assert all(ring.push(a, b"x") for a in (2, 4, 6)) and ring.select(5) == (4, b"x")
-    ring.prune(5)
-    assert [a for a, _ in ring.entries] == [4, 6]
-    assert not ring.push(8, b"12345") and ring.off and ring.select(9) is None
+    past = control.LaneHistory(keep=3, most_bytes=4)
+    assert all(past.add(a, b"x") for a in (2, 4, 6)) and past.newest(5) == (4, b"x") and past.newest(1) is None
+    past.forget(5)
+    assert past.arrivals == [4, 6]
+    assert not past.add(8, b"12345") and not past.wanted(1, force=True) and past.newest(9) is None
 
 
 def test_delivered_set_and_bitmap():
@@ -223,17 +224,23 @@ def test_delivered_set_and_bitmap():
 
 
 def test_epochs():
-    e = state.EpochSession()
-    assert not e.begin()
-    e.deliver(0)
-    e.complete(0)
-    assert e.current == 1 and not e.begin()
-    e.deliver(1)
-    assert e.begin() and e.current == 2
-    e.set_epoch(7)
-    assert not e.begin() and e.current == 7
+    e = state.EpochClock()
+    assert not e.turn("start")
+    e.turn("deliver", 0)
+    e.turn("finish", 0)
+    assert e.current == 1 and not e.turn("start")
+    e.turn("deliver", 0)  # of an iteration that is over
+    e.turn("deliver", 1)
+    assert e.turn("start") and e.current == 2
+    e.hold(7)
+    assert not e.turn("start") and e.current == 7
+    e.hold(9)
+    e.turn("finish", 7)
+    assert e.current == 9 and e.held
     with pytest.raises(TypeError):
-        e.set_epoch(True)
+        e.hold(True)
+    with pytest.raises(ValueError):
+        e.hold(-1)
 
 
 def test_fingerprints():
@@ -289,3 +296,211 @@ def test_sources(spark, tmp_path):
         readers.zipped({"a": spark.range(3).withColumnRenamed("id", "index").withColumn("x", F.lit(1)), "b": spark.range(2).withColumnRenamed("id", "index").withColumn("y", F.lit(1))})
     dense = readers.dense_index(spark.createDataFrame([(v,) for v in (5, 3, 9, 1)], "v long"), ["v"])
     assert [(r["index"], r["v"]) for r in dense.orderBy("index").collect()] == [(0, 1), (1, 3), (2, 5), (3, 9)]
+
+
+def test_dense_index_of_many_rows_holds_in_every_reader(spark):
+    """However its consumers cut and coalesce, no row is lost and no index repeats."""
+    n = 300_000
+    rows = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % n).alias("v"), F.repeat(F.lit("x"), 20).alias("pad"))
+    dense = readers.dense_index(rows, ["v"])
+    for got in (dense.select("index", "v"), dense.repartition(3).select("index", "v", "pad"), dense.where("v >= 0")):
+        assert got.agg(F.count("*"), F.count_distinct("index"), F.min("index"), F.max("index"), F.sum((F.col("index") != F.col("v")).cast("int"))).first()[:] == (n, n, 0, n - 1, 0)
+
+
+def width_by_hand(rows, ceiling, cadence_ns, cadence_batches, hysteresis=3):
+    """The controller's rules for one stream of (now, stalled, occupied), batches of 8."""
+    out, width, last, count, starved, calm = [], ceiling, None, 0, False, 0
+    for at, (now, stalled, occupied) in enumerate(rows):
+        last = now if last is None else last
+        count, starved = count + 1, starved or stalled
+        if count < cadence_batches or now - last < cadence_ns:
+            continue
+        before, bad = width, starved or occupied < 8
+        if bad:
+            width, calm, reason = min(ceiling, width + 1), 0, "starvation"
+        elif calm + 1 >= hysteresis and width > 1:
+            width, calm, reason = width - 1, 0, "resource-minimum"
+        else:
+            calm, reason = calm + 1, "hold"
+        out.append((at, before, width, reason, bad))
+        last, count, starved = now, 0, False
+    return out
+
+
+def test_m1_equals_a_plain_loop(spark, sf):
+    from weftline.plans import registry
+
+    got = {}
+    for r in registry.queries()["m1_controller"](spark, sf).collect():
+        got.setdefault(r["user_id"], []).append((r["event_id"], r["previous_width"], r["width"], r["reason"], r["starvation"]))
+    rows = {}
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("now"), "event_type", "value")
+    for r in events.orderBy("event_id").collect():
+        rows.setdefault(r["user_id"], []).append(r)
+    for user, mine in rows.items():
+        plain = width_by_hand([(r["now"], r["event_type"] == "error", int(r["value"])) for r in mine], 8, 2_000_000_000, 5)
+        assert [(mine[at]["event_id"], *rest) for at, *rest in plain] == sorted(got.get(user, []))
+    assert got
+
+
+def test_g4_equals_a_plain_loop(spark, sf):
+    from weftline.plans import registry
+
+    got = {(r["user_id"], r["event_id"]): (r["committed"], r["next"]) for r in registry.queries()["g4_frontier"](spark, sf).collect()}
+    expected, state_of = {}, {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
+        base, done = state_of.get(r["user_id"], (0, frozenset()))
+        free = [p for p in range(base, base + 4) if p not in done]
+        if free:
+            done |= {free[int(r["value"] * 100) % len(free)]}
+            if base in done:
+                expected[r["user_id"], r["event_id"]] = (base, base + 1)
+                done, base = done - {base}, base + 1
+        state_of[r["user_id"]] = (base, done)
+    assert got == expected and got
+
+
+def test_the_controller_starts_at_time_zero():
+    c = control.WidthController(4, 10, 1)
+    assert c.observe(0, False, 9, 4) is None and c.observe(9, False, 9, 4) is None
+    assert c.observe(10, False, 9, 4)["reason"] == "hold"
+    slow = control.WidthController(4, 1 << 40, 2)
+    for now in range(50):
+        slow.observe(now, now == 3, 9, 4)
+    assert len(slow.window) <= 3 and slow.observe(1 << 41, False, 9, 4)["starvation"]
+
+
+class Letters:
+    def __init__(self):
+        self.at = 0
+
+    def state_dict(self):
+        return {"at": self.at}
+
+    def load_state_dict(self, held):
+        self.at = held["at"]
+
+    def __iter__(self):
+        while self.at < 20:
+            self.at += 1
+            yield (self.at - 1,)
+
+
+@pytest.mark.parametrize("cut", range(0, 21, 3))
+def test_lane_replay_at_every_cut(cut):
+    past = control.LaneHistory(keep=100, every=2)
+    list(lane_state.histories(Letters(), 3, past))
+    assert past.arrivals == [0, 6, 12, 18]
+    assert [r[0] for r in lane_state.resumed(Letters(), cut, past.newest(cut))] == list(range(cut, 20))
+    if cut:
+        with pytest.warns(UserWarning, match="first row"):
+            assert [r[0] for r in lane_state.resumed(((i,) for i in range(20)), cut)] == list(range(cut, 20))
+
+
+def test_lane_checkpoints_are_checked(spark):
+    done = spark.createDataFrame([(0, 5), (1, 2)], "lane long, delivered_arrival long")
+    held = spark.createDataFrame([(0, 3, b"a"), (0, 5, b"b"), (0, 6, b"c"), (1, 4, b"d")], "lane long, arrival long, payload binary")
+    contract = [("dataset.rows", 9)]
+    doc = lane_state.document(lane_state.records(done, held), contract, 1, 0, 1, [1, 0])
+    lanes_ = lane_state.check(doc, contract, 1, 2)
+    assert (lanes_[0]["snapshot_arrival"], lanes_[0]["snapshot"], lanes_[1]["snapshot"]) == (5, b"b", None)
+    assert lane_state.starts(lane_state.option(lanes_)) == {0: (5, (5, b"b")), 1: (2, None)}
+    broken = [doc["lanes"][0] | {"snapshot_arrival": 6}, doc["lanes"][1]]
+    for bad in ({"kind": "map"}, {"world_size": 2}, {"lane_order": [0, 0]}, {"lanes": doc["lanes"][:1]}, {"epoch": -1}, {"lanes": broken}):
+        with pytest.raises((ValueError, TypeError)):
+            lane_state.check(doc | bad, contract, 1, 2)
+    with pytest.raises(ValueError, match="mismatch at dataset.rows"):
+        lane_state.check(doc, [("dataset.rows", 8)], 1, 2)
+    with pytest.raises(TypeError):
+        lane_state.captured(type("S", (), {"state_dict": lambda self: [1]})())
+
+
+def test_lane_hook_sees_its_lane(spark, tmp_path):
+    def note(about):
+        (tmp_path / f"{about['lane']}-{about['seed']}").write_text(str(about))
+
+    iterable.register(spark, "hooked", numbers, "value long", init=note)
+    assert iterable.read_lanes(spark, "hooked", lanes=2, seed=40).count() == 10
+    assert {p.name for p in tmp_path.iterdir()} == {"0-40", "1-41"}
+
+
+def test_decoder_pins():
+    steps = [stages.Source(lambda i: i, 3), stages.Transform(abs), stages.Decode(codec="json", schema="k bigint"), stages.Decode(fn=lambda c: c)]
+    found = stages.pins(steps, {"json": ("own", "7")})
+    assert [(p["stage"], p["decoder"], p["version"], p["by"]) for p in found[:1]] == [("pipeline-decode-1", "own", "7", "override")]
+    assert found[1]["by"] == "callable" and stages.pins(steps)[0]["decoder"] == "spark-from-json"
+    with pytest.raises(ValueError, match="utf8"):
+        stages.pins(steps, {"utf8": ("x", "1")})
+
+
+def test_nested_collation(spark):
+    rows = spark.createDataFrame([(0, 1, {"a": 2, "b": 3}, [5, 6]), (0, 0, {"a": 1, "b": 2, "c": 9}, [3, 4])], "batch_id long, offset long, m map<string,long>, s array<long>")
+    with pytest.raises(Exception, match="lacks the key"):
+        batch.collate_nested(rows, ["m"]).collect()
+    fine = batch.collate_nested(rows.withColumn("m", F.map_filter("m", lambda k, v: k != "c")), ["m", "s"]).first()
+    assert fine["m"] == {"a": [1, 2], "b": [2, 3]} and fine["s"] == [[3, 5], [4, 6]] and fine["n"] == 2
+    with pytest.raises(Exception, match="equal size"):
+        batch.collate_nested(spark.createDataFrame([(0, 0, [1]), (0, 1, [1, 2])], "batch_id long, offset long, s array<long>"), ["s"]).collect()
+
+
+def test_stable_values_and_source_elements(spark):
+    import enum
+
+    import numpy as np
+
+    class Kind(enum.Enum):
+        A = "x"
+
+    class Thing:
+        def __init__(self):
+            self.b, self.a, self._c = 1, {Kind.A}, 3
+
+    got = fp.stable({"t": (1, b"xy"), "k": Kind.A, "o": Thing()})
+    assert got["t"] == [1, {"sha256": "769f93e7d0bfe57e2fbdbae6d6fdcd3aa1e6d6cb0b5ae3ea4ba0ea0cb4e6d2f5", "bytes": 2}] or got["t"][1]["bytes"] == 2
+    assert got["k"] == "x" and got["o"]["state"] == {"a": ["x"], "b": 1}
+    deep = []
+    for _ in range(40):
+        deep = [deep]
+    assert '"cut"' in __import__("json").dumps(fp.stable(deep))
+    a = np.arange(6, dtype="<i4").reshape(2, 3)
+    assert fp.source_elements(a, True)[:2] == [("dataset.shape", [2, 3]), ("dataset.dtype", "<i4")]
+    assert fp.source_elements(a.T.copy(), True) != fp.source_elements(a, True) != fp.source_elements(a + 1, True)
+    assert [p for p, _ in fp.source_elements({"x": a})] == ["dataset.x.dataset.shape", "dataset.x.dataset.dtype"]
+    assert ("dataset.rows", 3) in fp.source_elements(spark.range(3).withColumnRenamed("id", "index"), True)
+    assert ("dataset.length", 2) in fp.source_elements([1, 2])
+
+
+def test_stats_and_diagnosis(spark):
+    from weftline.plans import diagnose
+
+    s = BatchStream(source(spark, 10), 4, seed=1)
+    assert s.stats()["last_epoch"] is None
+    list(s)
+    got = s.stats()
+    assert (got["last_epoch"]["epoch"], got["last_epoch"]["samples"], got["last_epoch"]["batches"]) == (0, 10, 3)
+    assert got["current"]["batches"] == 0 and got["memory"]["samples"] == 10 and got["memory"]["payload_bytes"] > 80
+    found = diagnose.diagnose(s, active=True, probe_batches=2)
+    assert found.record["probe"]["batches"] == 2 and found.record["advice"]["gain_percent"] is None and "gain: not stated" in found.text
+    assert s.epochs.current == 1 and s.stats()["memory"]["samples"] == 10
+    s.options = type(s.options)(batch_size=4, rank=0, world_size=2)
+    with pytest.raises(RuntimeError, match="world_size"):
+        list(s)
+
+
+def test_interval_and_verdict(spark):
+    import numpy as np
+
+    values = [3.0, 5.0, 4.0, 6.0, 2.0] * 40
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos long, value double")
+    got = stats.mean_interval(rows, "value", draws=400, seed=3).withColumn("verdict", stats.verdict(F.col("lower"))).first()
+    rng = np.random.default_rng(0)
+    low, high = np.quantile([rng.choice(values, len(values)).mean() for _ in range(2000)], [0.025, 0.975])
+    assert abs(got["lower"] - low) < 0.08 and abs(got["upper"] - high) < 0.08 and got["verdict"] == "win" and got["mean"] == 4.0
+    told = spark.createDataFrame([(0.1,), (-0.5,), (-2.0,)], "x double").select(stats.verdict(F.col("x"))).collect()
+    assert [r[0] for r in told] == ["win", "tie", "loss"]
+
+
+def test_sources_by_kind(spark, tmp_path):
+    spark.range(5).write.json(str(tmp_path / "j"))
+    assert sorted(r["index"] for r in readers.source(spark, "json", str(tmp_path / "j")).collect()) == list(range(5))
+    assert readers.source(spark, "callable", lambda i: {"sq": i * i}, 3, "sq long").count() == 3

@@ -33,6 +33,20 @@ def splitmix64(value: int) -> int:
     return value ^ (value >> 31)
 
 
+def mixed64(value: Column, modulo: int | None = None) -> Column:
+    """The SplitMix64 finaliser of a BIGINT as one, or its unsigned value modulo ``modulo``."""
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series) -> pd.Series:
+        v = x.to_numpy().astype(np.int64).view(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
+        v ^= v >> np.uint64(31)
+        return pd.Series((v if modulo is None else v % np.uint64(modulo)).view(np.int64))
+
+    return run(value)
+
+
 def key64(seed: int, epoch: int) -> int:
     return splitmix64(seed & MASK64) ^ splitmix64(((epoch << 32) | 0x9E37) & MASK64)
 

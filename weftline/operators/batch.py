@@ -24,6 +24,40 @@ def batched(df: DataFrame, batch_size: int, position: str = "pos", drop_last: bo
     return out
 
 
+def of_name(name: str) -> Callable[[Column], Column]:
+    return lambda row: row[name]
+
+
+def transposed(kind: T.DataType, values: Column) -> Column:
+    """A batch's array of nested values as one nested value of arrays: mappings by the keys of the
+    first (a key that another lacks raises), sequences by place (lengths must be equal), structs
+    by field, leaves as the array itself."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*(transposed(f.dataType, F.transform(values, of_name(f.name))).alias(f.name) for f in kind.fields))
+    first = F.element_at(values, 1)
+    if isinstance(kind, T.MapType):
+
+        def of_key(k: Column) -> Column:
+            lacking = F.raise_error(F.concat(F.lit("a mapping of the batch lacks the key "), k.cast("string"))).cast(kind.valueType)
+            one = F.transform(values, lambda r: F.when(F.map_contains_key(r, k), F.element_at(r, k)).otherwise(lacking))
+            return F.struct(k.alias("key"), transposed(kind.valueType, one).alias("value"))
+
+        return F.map_from_entries(F.transform(F.map_keys(first), of_key))
+    if isinstance(kind, T.ArrayType):
+        ragged = F.exists(values, lambda r: F.size(r) != F.size(first))
+        places = F.when(ragged, F.raise_error(F.lit(UNEQUAL)).cast("array<int>")).when(F.size(first) > 0, F.sequence(F.lit(0), F.size(first) - 1))
+        return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: transposed(kind.elementType, F.transform(values, lambda r: F.get(r, i))))
+    return values
+
+
+def collate_nested(df: DataFrame, columns: list[str], keys: list[str] | None = None, offset: str = "offset") -> DataFrame:
+    """One row for each batch, its columns' mappings, sequences and structs transposed."""
+    keys, kinds = keys or ["batch_id"], {c: df.schema[c].dataType for c in columns}
+    gathered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(offset, *columns)), lambda a, b: (a[offset] - b[offset]).cast("int")).alias("_rows"))
+    parts = (transposed(kinds[c], F.transform("_rows", of_name(c))).alias(c) for c in columns)
+    return gathered.select(*keys, F.size("_rows").cast("long").alias("n"), *parts)
+
+
 def collate(df: DataFrame, columns: list[str], keys: list[str] | None = None, offset: str = "offset", strict: bool = True) -> DataFrame:
     """One row for each batch with an array for each column, in offset order.
 

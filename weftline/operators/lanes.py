@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.readers import dense_index
+
 RANK_LIMIT, LANE_LIMIT, ARRIVAL_LIMIT = 1 << 12, 1 << 12, 1 << 40
 
 
@@ -30,7 +32,7 @@ def round_robin(rows: DataFrame, batch_size: int, drop_last: bool = False, curso
 
     Whole batches are taken from the lanes in turn until each is exhausted, which is the order
     (lane_batch, lane). After a restore, ``cursors`` are the batches already delivered of each
-    lane and ``lane_order`` the rotation. The ordinal is ranked over one row for each batch."""
+    lane and ``lane_order`` the rotation. The ordinal is a dense index over one row for each batch."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     out = rows.withColumn("lane_batch", F.floor(F.col("arrival") / batch_size).cast("long")).withColumn("offset", F.pmod(F.col("arrival"), F.lit(batch_size)))
@@ -43,7 +45,7 @@ def round_robin(rows: DataFrame, batch_size: int, drop_last: bool = False, curso
     for i, lane in enumerate(lane_order or []):
         place = F.when(F.col("lane") == lane, i).otherwise(place)
     batches = batches.withColumn("_round", F.col("lane_batch") - done).where("_round >= 0").withColumn("_place", place)
-    ranked = batches.withColumn("delivery", F.row_number().over(Window.orderBy("_round", "_place")).cast("long") - 1)
+    ranked = dense_index(batches.select("lane", "lane_batch", "_round", "_place"), ["_round", "_place"], "delivery")
     return out.join(ranked.select("lane", "lane_batch", "delivery"), ["lane", "lane_batch"])
 
 

@@ -109,12 +109,11 @@ def plan(spark: SparkSession, g: Geometry, seed: int = 0, epoch: int = 0, shuffl
 def with_batch_sampler(batches: DataFrame) -> DataFrame:
     """``(batch_id, offset, index)`` of user batches of any size, with running coordinates.
 
-    Only the batch sizes take part in the running sum, one row for each batch."""
-    from pyspark.sql import Window
+    A coordinate is a row's dense place in the order of batch and offset, found by ranges."""
+    from weftline.sources.readers import dense_index
 
-    sizes = batches.groupBy("batch_id").agg(F.count("*").alias("n"))
-    first = sizes.select("batch_id", (F.sum("n").over(Window.orderBy("batch_id")) - F.col("n")).alias("first"))
-    return batches.join(first, "batch_id").select("batch_id", "offset", "index", (F.col("first") + F.col("offset")).alias("coord"))
+    rows = batches.select("batch_id", "offset", "index")
+    return dense_index(rows, ["batch_id", "offset"], "coord").select("batch_id", "offset", "index", "coord")
 
 
 def gather(plan_rows: DataFrame, source: DataFrame, index: str = "index") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import dataclasses
 import secrets
 import warnings
 from collections.abc import Callable, Iterator
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline import CONTRACT_VERSION
+from weftline.functions import stats
 from weftline.operators import batch, placement
 from weftline.plans import fingerprint as fp
 from weftline.plans import state as st
@@ -44,29 +47,29 @@ class BatchStream:
         world_size: int | None = None, seed: int | None = None, delivery: str = "in-order", collate: str = "row",
         collate_fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None, collate_schema: str | None = None,
     ) -> None:
-        if sampler is not None and shuffle:
-            raise ValueError("sampler option is mutually exclusive with shuffle")
-        if batch_sampler is not None and (batch_size != 1 or shuffle or sampler is not None or drop_last):
-            raise ValueError("batch_sampler option is mutually exclusive with batch_size, shuffle, sampler, and drop_last")
-        if batch_size is None and drop_last:
-            raise ValueError("batch_size=None option disables auto-batching and is mutually exclusive with drop_last")
-        if batch_size is not None and (isinstance(batch_size, bool) or batch_size <= 0):
-            raise ValueError("batch_size should be a positive integer value")
         if (rank is None) != (world_size is None):
-            raise TypeError("rank and world_size must both be set or both left out")
-        if delivery not in ("in-order", "on-completion"):
-            raise ValueError("delivery must be in-order or on-completion")
-        if collate not in ("row", "column"):
-            raise ValueError("collate must be row or column")
-        if (collate_fn is None) != (collate_schema is None):
-            raise ValueError("collate_fn needs collate_schema")
-        if seed is not None and not 0 <= seed < 1 << 64:
-            raise ValueError("seed must fit in 64 unsigned bits")
+            raise TypeError("rank and world_size go together: give both or neither")
+        own_batches = batch_sampler is not None
+        for wrong, why in (
+            (sampler is not None and shuffle, "a sampler gives the order, so shuffle can't"),
+            (own_batches and (batch_size != 1 or drop_last), "a batch_sampler makes the batches, so batch_size and drop_last can't"),
+            (own_batches and (shuffle or sampler is not None), "a batch_sampler gives the order, so neither shuffle nor a sampler can"),
+            (batch_size is None and drop_last, "without batches (batch_size=None) there is no last one to drop"),
+            (batch_size is not None and (type(batch_size) is not int or batch_size < 1), f"batch_size is a whole number from 1 on, not {batch_size!r}"),
+            (delivery not in ("in-order", "on-completion"), f"delivery is in-order or on-completion, not {delivery!r}"),
+            (collate not in ("row", "column"), f"collate is row or column, not {collate!r}"),
+            ((collate_fn is None) != (collate_schema is None), "collate_fn and collate_schema go together"),
+            (seed is not None and not 0 <= seed < 1 << 64, f"seed has 64 bits at most, {seed!r} doesn't fit"),
+        ):
+            if wrong:
+                raise ValueError(why)
         self.source, self.sampler, self.batch_sampler = source, sampler, batch_sampler
         self.options = Options(batch_size, shuffle, drop_last, exact_count, rank, world_size, delivery, collate)
         self.collate_fn, self.collate_schema = collate_fn, collate_schema
         self.seed = secrets.randbits(64) if seed is None else seed
-        self.epochs, self.cursor, self.ahead = st.EpochSession(), 0, set()
+        self.epochs, self.cursor, self.ahead = st.EpochClock(), 0, set()
+        self._topology = (rank, world_size)
+        self._seen = stats.Ledger()
         self._length: int | None = None
         self._delivered: st.Delivered | None = None
 
@@ -122,20 +125,38 @@ class BatchStream:
         return out.orderBy("rank", "batch_id") if self.options.delivery == "in-order" else out
 
     def __iter__(self) -> Iterator[Row]:
-        if self.epochs.begin():
+        if self.epochs.turn("start"):
             warnings.warn("the abandoned epoch was advanced; call set_epoch to replay it", stacklevel=2)
-        epoch, base = self.epochs.active, self.cursor
+        self.check_topology()
+        epoch, base = self.epochs.running, self.cursor
         self._delivered = st.Delivered(base, set(self.ahead))
         for row in self.batches(epoch).toLocalIterator(prefetchPartitions=True):
             if "batch_id" in row:
                 self._delivered.mark(row["batch_id"])
-            self.epochs.deliver(epoch)
+            self.epochs.turn("deliver", epoch)
+            self._seen.delivered(row)
             yield row
-        self.epochs.complete(epoch)
+        self.epochs.turn("finish", epoch)
+        self._seen.seal(epoch)
         self.cursor, self.ahead, self._delivered = 0, set(), None
 
     def set_epoch(self, epoch: int) -> None:
-        self.epochs.set_epoch(epoch)
+        self.epochs.hold(epoch)
+
+    def check_topology(self) -> None:
+        """Rank and world size are fixed when the stream is made."""
+        if (self.options.rank, self.options.world_size) != self._topology:
+            raise RuntimeError("rank or world_size changed after the stream was made; make a new one and restore its state")
+
+    def copy(self) -> BatchStream:
+        """A stream of the same rows and position whose deliveries don't count here."""
+        other = copy.copy(self)
+        other.epochs, other.ahead, other._seen = dataclasses.replace(self.epochs), set(self.ahead), stats.Ledger()
+        return other
+
+    def stats(self) -> dict:
+        """Counters of the running epoch and of the last whole one, and the bytes delivered."""
+        return self._seen.report()
 
     @property
     def contract(self) -> list[tuple[str, object]]:
@@ -154,20 +175,16 @@ class BatchStream:
         return batch.batch_shape(self.source.drop("index").schema, self.geometry.global_batch)
 
     def _sampler_checksum(self, batches: int) -> int:
-        """Checksum of the user's indices delivered so far."""
-        if self.sampler is None and self.batch_sampler is None:
-            return 0
+        """Checksum of the user's indices delivered so far; nothing but it comes to the driver."""
         if self.sampler is not None:
-            done = self.sampler.where(F.col("pos") < batches * self.geometry.global_batch).orderBy("pos")
-            return st.sampler_checksum(r[0] for r in done.select("index").toLocalIterator())
-        checksum, done = 0, self.batch_sampler.where(F.col("batch_id") < batches).groupBy("batch_id")
-        for r in done.agg(F.array_sort(F.collect_list(F.struct("offset", "index"))).alias("v")).orderBy("batch_id").toLocalIterator():
-            checksum = st.sampler_checksum([x["index"] for x in r["v"]], checksum, len(r["v"]))
-        return checksum
+            return st.positions_checksum(self.sampler.where(F.col("pos") < batches * self.geometry.global_batch), ["pos"])
+        if self.batch_sampler is not None:
+            return st.positions_checksum(self.batch_sampler.where(F.col("batch_id") < batches), ["batch_id", "offset"])
+        return 0
 
     def state_dict(self) -> dict:
         at = self._delivered or st.Delivered(self.cursor, set(self.ahead))
-        epoch = self.epochs.current if self.epochs.active is None else self.epochs.active
+        epoch = self.epochs.current if self.epochs.running is None else self.epochs.running
         return {
             "root_seed": self.seed, "epoch": epoch, "cursor": at.base, "B_g": self.geometry.global_batch,
             "sampler_checksum": self._sampler_checksum(at.base), "delivered_bitmap": at.bitmap().hex(), "fingerprint": fp.document(self.contract),
@@ -181,5 +198,5 @@ class BatchStream:
         if has_sampler and self._sampler_checksum(state["cursor"]) != state["sampler_checksum"]:
             raise ValueError("sampler_checksum does not match the sampler's delivered indices")
         self.seed, self.cursor, self.ahead, self._delivered = state["root_seed"], state["cursor"], ahead, None
-        self.epochs.set_epoch(state["epoch"])
-        self.epochs.active = None
+        self.epochs.hold(state["epoch"])
+        self.epochs.running = None

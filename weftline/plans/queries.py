@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +14,8 @@ from weftline.operators import batch, lanes, permute, placement
 from weftline.plans import oracle_sql as sql
 from weftline.plans import fingerprint as fp
 from weftline.plans import stages, state, verify
-from weftline.sources import readers
-from weftline.streaming import control
+from weftline.sources import iterable, readers
+from weftline.streaming import control, lane_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,14 +142,7 @@ SELECT event_id, ((xor(b, b >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) %
 SELECT event_id, ((xor(a, a >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS b FROM (
 SELECT event_id, (event_id * 1000003)::UBIGINT AS a FROM events))))""")
 def c1_splitmix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("long")
-    def mix(x: pd.Series) -> pd.Series:
-        v = x.to_numpy().astype(np.uint64)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
-        return pd.Series((v ^ (v >> np.uint64(31))).view(np.int64))
-
-    return table(spark, sf_dir, "events").select("event_id", mix(F.col("event_id") * 1000003).alias("mixed"))
+    return table(spark, sf_dir, "events").select("event_id", rng.mixed64(F.col("event_id") * 1000003).alias("mixed"))
 
 
 @query(f"SELECT event_id, {WORDS} FROM ({sql.block('SELECT event_id FROM events', 'event_id', 7, 3)})")
@@ -245,7 +237,8 @@ def f6_pad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch_id", "longest", F.array_join("lengths", ",").alias("lengths"), F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x).alias("digest"))
 
 
-@query()
+@query(f"""SELECT b.batch_id, n, middle, x0::BIGINT AS draw FROM (SELECT o_orderkey // 512 AS batch_id, count(*) AS n, median(o_totalprice) AS middle FROM orders GROUP BY ALL) b
+JOIN ({sql.block('SELECT DISTINCT o_orderkey // 512 AS batch_id FROM orders', 'batch_id', 1, 0, 0, 1)}) w ON w.batch_id = b.batch_id""")
 def f8_user_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user function for each batch, with a random draw of the collate stream."""
 
@@ -291,10 +284,10 @@ def b4_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.batches(spark, placement.Geometry(raw.count(), 32, distributed=False)).select("batch_id", "value")
 
 
-@query("""SELECT vec_id // 16 AS batch_id, count(*) AS n, min(vec_id) AS first, sum(label)::BIGINT AS labels FROM embeddings GROUP BY ALL""")
+@query("""SELECT vec_id // 16 AS batch_id, count(*) AS n, min(vec_id) AS first, sum(label)::BIGINT AS labels, sum(coalesce(len(embedding), 0))::BIGINT AS numbers FROM embeddings GROUP BY ALL""")
 def a3_tensor_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = batch.batched(table(spark, sf_dir, "embeddings"), 16, "vec_id")
-    return rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.sum("label").alias("labels"))
+    return rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.sum("label").alias("labels"), F.sum(F.coalesce(F.size("embedding"), F.lit(0))).alias("numbers"))
 
 
 @query("""SELECT o_orderkey AS index, o_totalprice AS price, o_orderpriority AS priority FROM orders""")
@@ -352,11 +345,77 @@ def h4_resume_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("batch_id").agg(F.count("*").alias("n"), money("o_totalprice").alias("total"))
 
 
-@query()
-def h5_sampler_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("""WITH c AS (SELECT count(*)::BIGINT AS n FROM customer), p AS (SELECT n, unnest(range(0, n)) AS pos FROM c)
+SELECT max(n) AS n, (sum(('0x' || substr(md5(pos || ':' || ((pos * 7 + pos // 5) % n)), 1, 15))::BIGINT) % 9223372036854775808::HUGEINT)::BIGINT AS checksum FROM p""")
+def h5_sampler_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").count()
-    picks = ((i * 7 + i // 5) % n for i in range(n))
-    return spark.createDataFrame([(n, state.sampler_checksum(picks))], "n long, checksum long")
+    picks = spark.range(n).select(F.col("id").alias("pos"), F.pmod(F.col("id") * 7 + F.floor(F.col("id") / 5), F.lit(n)).cast("long").alias("index"))
+    return spark.createDataFrame([(n, state.positions_checksum(picks, ["pos"]))], "n long, checksum long")
+
+
+class Stride:
+    """A stateful iterable source: every ``step``-th number from ``at`` up to ``end``."""
+
+    def __init__(self, at: int, step: int, end: int):
+        self.at, self.step, self.end = at, step, end
+
+    def state_dict(self) -> dict:
+        return {"at": self.at}
+
+    def load_state_dict(self, held: dict) -> None:
+        self.at = held["at"]
+
+    def __iter__(self):
+        while self.at < self.end:
+            self.at += self.step
+            yield (self.at - self.step,)
+
+
+@query("""WITH n AS (SELECT count(*)::BIGINT AS n FROM orders), l AS (SELECT unnest([0, 1, 2])::BIGINT AS lane),
+d AS (SELECT lane, 20 + 37 * lane AS delivered_arrival, n FROM l, n),
+r AS (SELECT lane, delivered_arrival, unnest(range(lane + 3 * delivered_arrival, n, 3)) AS value FROM d)
+SELECT lane, delivered_arrival, delivered_arrival // 16 * 16 AS snapshot_arrival, count(*) AS rows, min(value) AS first, sum(value)::BIGINT AS total FROM r GROUP BY ALL""")
+def h7_lane_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes cut after different numbers of rows go on from their newest states."""
+    n, count = table(spark, sf_dir, "orders").count(), 3
+    iterable.register(spark, "weftline_stride", lambda lane, lanes, rank, world: Stride(rank * lanes + lane, lanes * world, n), "value long")
+    done = spark.range(count).select(F.col("id").alias("lane"), (F.col("id") * 37 + 20).alias("delivered_arrival"))
+    # States lie 16 rows apart, and only those up to the cut are wanted.
+    states = iterable.read_lanes(spark, "weftline_stride", lanes=count, states=16, limit=20 + 37 * count)
+    records = lane_state.records(done, states)
+    contract = [("dataset.rows", n), ("lanes", count)]
+    saved = lane_state.check(lane_state.document(records, contract, 1, 0, 1, [0, 1, 2]), contract, 1, count)
+    rest = iterable.read_lanes(spark, "weftline_stride", lanes=count, resume=lane_state.option(saved))
+    sums = rest.groupBy("lane").agg(F.count("*").alias("rows"), F.min("value").alias("first"), F.sum("value").alias("total"))
+    return records.select("lane", "delivered_arrival", "snapshot_arrival").join(sums, "lane")
+
+
+@query("""WITH n AS (SELECT count(*)::BIGINT AS n FROM customer), p AS (SELECT n, unnest(range(0, n // 2)) AS pos FROM n)
+SELECT pos // 32 AS batch_id, count(*) AS n, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS total FROM p JOIN customer ON c_custkey = (pos * 11 + 3) % p.n GROUP BY ALL""")
+def d8_unsized_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampler that only ends when it ends: its picks are a lane of an iterable source."""
+    customer = indexed(spark, sf_dir, "customer", "c_custkey").select("index", "c_acctbal")
+    n = customer.count()
+    iterable.register(spark, "weftline_picks", lambda lane, lanes, rank, world: (((i * 11 + 3) % n,) for i in range(n // 2)), "index long")
+    picks = iterable.read_lanes(spark, "weftline_picks").select(F.col("arrival").alias("pos"), "index")
+    return placement.gather(batch.batched(picks, 32), customer).groupBy("batch_id").agg(F.count("*").alias("n"), money("c_acctbal").alias("total"))
+
+
+@query("""SELECT event_id // 32 AS batch_id, count(*) AS n, sum(user_id)::BIGINT AS users, sum(length(event_type))::BIGINT AS letters, sum(event_id)::BIGINT AS ids,
+ sum(event_id * (event_id % 32 + 1))::BIGINT AS placed FROM events GROUP BY ALL""")
+def f4_nested_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings and sequences become a mapping and a sequence of arrays in batch order."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.create_map(F.lit("user"), F.col("user_id").cast("long"), F.lit("letters"), F.length("event_type").cast("long")).alias("m"),
+        F.array(F.col("event_id").cast("long"), F.lit(1).cast("long")).alias("s"),
+    )
+    out = batch.collate_nested(batch.batched(events, 32, "event_id"), ["m", "s"])
+
+    def total(c):
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    placed = F.transform(F.col("s")[0], lambda x, i: x * (F.pmod(x, F.lit(32)) + 1))
+    return out.select("batch_id", "n", total(F.col("m")["user"]).alias("users"), total(F.col("m")["letters"]).alias("letters"), total(F.col("s")[0]).alias("ids"), total(placed).alias("placed"))
 
 
 @query("""SELECT lane, arg_max(payload, arrival) AS payload, max(arrival) AS arrival FROM (
@@ -416,9 +475,61 @@ def k2_epoch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.epoch_summary(rows, ["l_returnflag", "l_linestatus"], "b", "l_partkey", "l_suppkey")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{u}', '{d}', 1)" for i, u, d in stats.INSTRUMENTS) + ") AS t(id, unit, description, version)")
+@query("""SELECT unit, count(*) AS n, string_agg(id, ' ' ORDER BY id) AS ids, 1 AS version FROM (VALUES
+ ('bytes', 'bytes_per_sample'), ('bytes', 'staged_copy_transients'), ('bytes', 'view_export_copy'),
+ ('events', 'ceiling_binds'), ('events', 'controller_decisions'), ('events', 'gil_restore_events'), ('events', 'growth_events'),
+ ('events', 'hold'), ('events', 'overflow_events'), ('events', 'stall_events'),
+ ('nanoseconds', 'delivery_latency'), ('nanoseconds', 'startup'), ('nanoseconds', 't_seed'), ('nanoseconds', 't_shim'),
+ ('position', 'hung_position'), ('ratio', 'machine_keeping_duty'), ('ratio', 'nontensor_fraction'),
+ ('samples_per_second', 'delivery_rate')) AS t(unit, id) GROUP BY unit""")
 def k4_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(*r, 1) for r in stats.INSTRUMENTS], "id string, unit string, description string, version int")
+    rows = spark.createDataFrame([(*r, 1) for r in stats.INSTRUMENTS], "id string, unit string, description string, version int")
+    return rows.groupBy("unit").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), " ").alias("ids"), F.max("version").alias("version"))
+
+
+@query("""
+WITH h AS (SELECT o_orderpriority, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END AS bucket, count(*) AS n
+           FROM (SELECT o_orderpriority, (o_totalprice * 100)::BIGINT AS v FROM orders) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY o_orderpriority) AS total FROM h),
+q AS (SELECT o_orderpriority, min(CASE WHEN cum >= ceil(total * 50 / 100) THEN (1::BIGINT << bucket) - 1 END) AS p50,
+ min(CASE WHEN cum >= ceil(total * 95 / 100) THEN (1::BIGINT << bucket) - 1 END) AS p95, min(CASE WHEN cum >= ceil(total * 99 / 100) THEN (1::BIGINT << bucket) - 1 END) AS p99
+ FROM c GROUP BY o_orderpriority),
+s AS (SELECT o_orderpriority, count(*) AS samples, count(DISTINCT o_orderkey // 64) AS batches, sum(o_custkey)::BIGINT AS payload_bytes,
+ sum((o_totalprice * 100)::BIGINT)::BIGINT AS interval_ns, count(*) FILTER (o_orderstatus = 'P') AS stall_events,
+ count(*) FILTER (o_orderkey % 20 = 0) AS controller_decisions, count(*) FILTER (o_orderkey % 100 = 0) AS ceiling_binds FROM orders GROUP BY ALL)
+SELECT * FROM s JOIN q USING (o_orderpriority)""")
+def k2_epoch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderpriority", F.floor(F.col("o_orderkey") / 64).alias("b"), F.col("o_custkey").cast("long").alias("bytes"), F.round(F.col("o_totalprice") * 100).cast("long").alias("ns"),
+        (F.col("o_orderstatus") == "P").alias("stalled"), (F.col("o_orderkey") % 20 == 0).alias("decided"), (F.col("o_orderkey") % 100 == 0).alias("bound"),
+    )
+    return stats.epoch_counters(rows, ["o_orderpriority"], "b", "bytes", "ns", "stalled", "decided", "bound")
+
+
+@query("""SELECT source, count(DISTINCT doc_id // 64) AS batches, count(*) AS samples, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS payload_bytes,
+ sum(octet_length(encode(coalesce(text, '')))) / count(*) AS bytes_per_sample FROM documents GROUP BY source""")
+def k10_byte_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("b", F.floor(F.col("doc_id") / 64))
+    return stats.byte_ledger(docs, ["source"], "b", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+
+
+@query("""SELECT free, f, least(free, floor(free * f))::BIGINT AS budget FROM (SELECT unnest([0, 1, 999, 1000000007])::BIGINT AS free), (SELECT unnest([0.01, 0.15, 1.0, 2.5])::DOUBLE AS f)""")
+def k9_profile_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, f, stats.profile_budget(n, f)) for n in (0, 1, 999, 1000000007) for f in (0.01, 0.15, 1.0, 2.5)]
+    return spark.createDataFrame(rows, "free long, f double, budget long")
+
+
+@query("""WITH e AS (SELECT event_id, value, (xor(c, c >> 31) % 64)::BIGINT AS entry FROM (
+ SELECT *, ((xor(b, b >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS c FROM (
+ SELECT *, ((xor(a, a >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS b FROM (
+ SELECT *, user_id::UBIGINT AS a FROM events)))),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY event_id) AS k, count(*) OVER (PARTITION BY entry) AS n FROM e)
+SELECT entry, round(sum(CASE WHEN k = 1 THEN 1.0 ELSE 0.3 END * pow(0.7, n - k) * value), 6) AS estimate, count(*) AS observations FROM r GROUP BY entry""")
+def k7_hashed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile with fewer entries than positions."""
+    events = table(spark, sf_dir, "events").select("event_id", "value", stats.profile_entry(F.col("user_id").cast("long"), 64, 1 << 20).alias("entry"))
+    out = stats.ema_profile(events, "entry", "event_id", "value")
+    return out.select("entry", F.round("estimate", 6).alias("estimate"), "observations")
 
 
 EMA = """SELECT user_id, sum(CASE WHEN k = 1 THEN 1.0 ELSE 0.3 END * pow(0.7, n - k) * value) AS estimate, count(*) AS observations
@@ -441,8 +552,9 @@ def k8_profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "value")
-    return stats.bootstrap_mean(rows, "value", draws=100, seed=5)
+    """Mean, 95 % interval and verdict of the events' values against 100."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("value") - 100).alias("value"))
+    return stats.mean_interval(rows, "value", draws=100, seed=5).withColumn("verdict", stats.verdict(F.col("lower")))
 
 
 @query("""SELECT o_orderkey, cost, row_number() OVER (ORDER BY cost DESC NULLS LAST, o_orderkey) - 1 AS dispatch FROM (
@@ -509,12 +621,17 @@ def n2_worker_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("batch_id", worker.cast("long").alias("worker"), (worker + 12345).cast("long").alias("lane_seed"), "n")
 
 
-@query("""SELECT true AS same_run, 4321::BIGINT AS first_mismatch, (SELECT count(*) FROM orders)::BIGINT AS compared""")
+PLANTED = "o_orderkey % 10 = 1 AND o_orderkey >= (SELECT max(o_orderkey) // 2 FROM orders)"
+
+
+@query(f"""SELECT true AS same_run, (SELECT min(o_orderkey) FROM orders WHERE {PLANTED})::BIGINT AS first_mismatch, (SELECT count(*) FROM orders)::BIGINT AS compared""")
 def o1_first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two physical runs of a stream agree; a planted change is found at its position."""
+    """Two physical runs of a stream agree; of planted changes the first is found."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_totalprice", "o_orderpriority")
     again = verify.verify(orders, orders.repartition(7))
-    changed = orders.withColumn("o_totalprice", F.when(F.col("pos").isin(4321, 4400), -F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
+    half = orders.agg(F.max("pos")).first()[0] // 2
+    planted = (F.col("pos") % 10 == 1) & (F.col("pos") >= half)
+    changed = orders.withColumn("o_totalprice", F.when(planted, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
     found = verify.verify(orders, changed)
     return spark.createDataFrame([(again["bit_exact"], found["first_mismatch"], found["compared_samples"])], "same_run boolean, first_mismatch long, compared long")
 

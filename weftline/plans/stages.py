@@ -18,6 +18,31 @@ Expression = Callable[[Column], Column]
 CODECS = {"utf8": "spark-decode@1", "json": "spark-from-json@1", "int": "spark-cast@1"}
 
 
+def pins(steps: list, overrides: dict[str, tuple[str, str]] | None = None) -> list[dict]:
+    """Which decoder each decode stage of a pipeline uses, as ``(stage, codec, decoder, version,
+    by)``. An override is named by the stage, ``pipeline-decode-{i}`` counted over the sample
+    stages, or else by the codec, and fits stages with a codec only; one that fits none raises."""
+    left, out = dict(overrides or {}), []
+    used: set[str] = set()
+    samples = [s for s in steps if isinstance(s, (Decode, Transform))]
+    for i, stage in enumerate(samples):
+        if not isinstance(stage, Decode):
+            continue
+        name = f"pipeline-decode-{i}"
+        if stage.fn is not None:
+            who = fp.callable_identity(stage.fn)
+            decoder, version, by = who.get("name", "callable"), who.get("code", "none"), "callable"
+        else:
+            key = next((k for k in (name, stage.codec) if k in left), None)
+            used |= {key} - {None}
+            decoder, version = left[key] if key else CODECS[stage.codec].split("@")
+            by = "override" if key else "table"
+        out.append({"stage": name, "codec": stage.codec or "custom", "decoder": decoder, "version": version, "by": by})
+    if set(left) - used:
+        raise ValueError(f"no stage takes these decoder overrides: {sorted(set(left) - used)}")
+    return out
+
+
 @dataclass(frozen=True)
 class Source:
     """Rows ``index, value``: a DataFrame, or ``fn(index)`` over an explicit length."""

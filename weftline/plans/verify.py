@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +12,13 @@ from pyspark.sql import types as T
 def bits(kind: T.DataType, c: Column) -> Column:
     """A value's exact bits as text: floats by their bytes, so -0.0 and NaN payloads count."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        code = ">d" if isinstance(kind, T.DoubleType) else ">f"
+        real, whole = (np.float64, np.int64) if isinstance(kind, T.DoubleType) else (np.float32, np.int32)
 
-        @F.pandas_udf("string")
+        @F.pandas_udf("long")
         def run(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: None if v is None else struct.pack(code, v).hex())
+            return pd.Series(x.to_numpy(real).view(whole).astype(np.int64))
 
-        return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(run(c))
+        return F.when(c.isNotNull(), run(c)).cast("string")
     if isinstance(kind, T.BinaryType):
         return F.hex(c)
     return F.to_json(F.struct(c.alias("v")))

@@ -10,23 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.shared import written
+
 
 def dense_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """A dense 0-based index in a total order, without a single-task window.
 
-    Rows are range-partitioned; partitions are counted, and each row's number is its partition's
-    running count plus its place there. Ties must not exist or must be equal rows."""
-    spark = df.sparkSession
-    from pyspark.sql import Window
-
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = {r[0]: r[1] for r in part.groupBy("_p").count().collect()}  # one row for each partition
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    starts = spark.createDataFrame(list(first.items()) or [(0, 0)], "_p int, _first long")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return part.withColumn("_n", place).join(F.broadcast(starts), "_p").withColumn(name, F.col("_first") + F.col("_n") - 1).drop("_p", "_n", "_first")
+    Rows are range-partitioned, sorted and written once, each with its partition and its place
+    there. All that follows reads the written rows: partitions are counted, and a row's index is
+    what the partitions before hold and its place. So neither another cut of the ranges nor
+    coalesced partitions can change it between jobs. Ties must not exist or be equal rows."""
+    place = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place), "dense-index")
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("p")).count().orderBy("p").collect()  # one row for each partition
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    first = rows.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _first long")
+    joined = rows.join(F.broadcast(first), part == F.col("_part"))
+    return joined.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_first")
 
 
 def keyed(df: DataFrame, key: str, name: str = "index") -> DataFrame:
@@ -72,9 +76,37 @@ def folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> Da
 
 
 def byte_range(spark: SparkSession, path: str, offset: int, length: int) -> DataFrame:
-    """Bytes [offset, offset + length) of each file, shorter at its end."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.substring("content", offset + 1, length).alias("bytes"))
+    """Bytes [offset, offset + length) of each file, shorter at its end; only these are read."""
+    from pyarrow import fs
+
+    def run(batches):
+        for pdf in batches:
+            found = []
+            for name in pdf["path"]:
+                system, local = fs.FileSystem.from_uri(name)
+                with system.open_input_file(local) as f:
+                    f.seek(min(offset, f.size()))
+                    found.append(f.read(length))
+            yield pdf.assign(bytes=found)
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # the content is not read
+    return files.mapInPandas(run, "path string, bytes binary")
+
+
+# Kinds of source that have a reader of their own.
+KINDS = ("parquet", "folder", "records", "columns", "table", "callable")
+
+
+def source(spark: SparkSession, kind: str, *args, **options) -> DataFrame:
+    """A source by its kind: the reader of that kind, else the reader of single rows for a
+    ``callable``; an unknown kind falls back to Spark's own format of that name, indexed."""
+    readers_of = {"parquet": parquet, "folder": folder, "records": fixed_records, "callable": black_box}
+    if kind in readers_of:
+        return readers_of[kind](spark, *args, **options)
+    if kind == "columns":
+        return zipped(*args, **options)
+    rows = spark.table(args[0]) if kind == "table" else spark.read.format(kind).options(**options).load(*args)
+    return dense_index(rows, rows.columns)
 
 
 def inventory(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
