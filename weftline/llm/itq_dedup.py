@@ -3,9 +3,11 @@
 1. Fit (driver, numpy): centre, PCA and the ITQ rotation over ``fit_rows`` unit vectors, the
    first by a hash of their id. This bound is the only one; every vector is encoded and indexed.
 2. Encode: one Arrow pass; equal vectors of one label are a single row with a multiplicity.
-3. Retrieve: the code is cut into 16-bit parts, one Hamming table for each. A code posts each
-   part once and probes it with up to one bit flipped, so every pair of codes within
-   ``2 * parts - 1`` bits (and most beyond) meets. A pair counts in the first table only.
+3. Retrieve: the code is cut into parts, one Hamming table for each. A code posts each part once
+   and probes it with up to a few bits flipped; a pair counts in the first table only. With more
+   codes of a label, ``LAYOUTS`` takes fewer and wider parts and flips more bits, so candidates
+   don't grow with the square of the rows: 4 parts and 1 flip (every pair of codes within 7 bits
+   meets, and most beyond), then 3 and 2 (within 8), then 2 and 3 (within 7).
 4. Rerank: the vectors behind each pair of codes are compared by cosine in double precision.
    Cells of more than ``block_rows`` vectors are dealt in blocks, so a task holds two blocks at
    most; each block pair returns sums and a spanning forest, never its pairs.
@@ -18,7 +20,9 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import components, materialise
 
-PART_BITS = 16
+LAYOUTS = ((4, 1), (3, 2), (2, 3))  # parts of a code, bits flipped in each
 OWN = 2  # the side of a block that meets itself
 
 
@@ -64,6 +68,29 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column as unit vectors; scaled by powers of two first, so that neither tiny
+    nor huge components are lost in their squares."""
+    x = matrix(column, dim)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def flip_masks(width: int, flips: int) -> list[int]:
+    return [sum(1 << b for b in held) for n in range(flips + 1) for held in combinations(range(width), n)]
+
+
+def layout(codes: int, bits: int) -> tuple[int, int]:
+    """The layout with the fewest probes and candidates for so many codes of one label."""
+
+    def rows(parts: int, flips: int) -> float:
+        width = -(-bits // parts)
+        probes = sum(math.comb(width, n) for n in range(flips + 1))
+        return parts * probes * codes * (1 + codes / 2**width)
+
+    return min(LAYOUTS, key=lambda x: rows(*x))
+
+
 def is_valid() -> Column:
     e = F.col("embedding")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -91,7 +118,7 @@ def forest(ids: np.ndarray, near: np.ndarray) -> np.ndarray:
 
 
 def rerank(cells: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """``(head, linked, root)`` sums from rows sorted by ``pair``; side 0 meets side 1, and a
+    """``(head, linked, root)`` sums from rows sorted by ``pair`` and ``pair2``; side 0 meets side 1, and a
     block of side OWN meets itself."""
 
     def one(side: np.ndarray, heads: np.ndarray, copies: np.ndarray, x: np.ndarray):
@@ -111,8 +138,8 @@ def rerank(cells: DataFrame, dim: int, threshold: float) -> DataFrame:
         rest: pa.Table | None = None
 
         def groups(t: pa.Table, last: bool):
-            pair = t["pair"].to_numpy()
-            edge = np.flatnonzero(np.diff(pair)) + 1
+            pair, twin = t["pair"].to_numpy(), t["pair2"].to_numpy()
+            edge = np.flatnonzero((pair[1:] != pair[:-1]) | (twin[1:] != twin[:-1])) + 1
             starts = np.concatenate([[0], edge]) if len(pair) else np.zeros(0, int)
             ends = np.concatenate([edge, [len(pair)]]) if len(pair) else np.zeros(0, int)
             if not last and len(starts):
@@ -120,8 +147,7 @@ def rerank(cells: DataFrame, dim: int, threshold: float) -> DataFrame:
             upto = int(ends[-1]) if len(ends) else 0
             if upto:
                 part = t.slice(0, upto).combine_chunks()
-                x = matrix(part["embedding"].chunk(0), dim)
-                x /= np.sqrt((x * x).sum(1))[:, None]
+                x = unit_rows(part["embedding"].chunk(0), dim)
                 side, heads, copies = (part[c].to_numpy() for c in ("side", "head", "copies"))
                 found = [r for s, e in zip(starts, ends, strict=True) for r in one(side[s:e], heads[s:e], copies[s:e], x[s:e])]
                 if found:
@@ -138,9 +164,10 @@ def rerank(cells: DataFrame, dim: int, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, "head long, linked long, root long")
 
 
-def code_pairs(codes: DataFrame, bits: int, radius: int) -> DataFrame:
+def code_pairs(codes: DataFrame, bits: int, radius: int, tables: int, most_flips: int) -> DataFrame:
     """``(label, dim, a, b)`` of different codes that meet in a Hamming table, each pair once."""
-    parts = [(lo, min(lo + PART_BITS, bits)) for lo in range(0, bits, PART_BITS)]
+    width = -(-bits // tables)
+    parts = [(lo, min(lo + width, bits)) for lo in range(0, bits, width)]
 
     def part(c, lo: int, hi: int):
         return F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
@@ -149,7 +176,8 @@ def code_pairs(codes: DataFrame, bits: int, radius: int) -> DataFrame:
         "label", "dim", F.col("code").alias("b"),
         F.posexplode(F.array(*(part(F.col("code"), lo, hi) for lo, hi in parts))).alias("t", "k"),
     )
-    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(hi - lo))) for lo, hi in parts))
+    # Constant arrays, folded to literals once.
+    flips = F.array(*(F.split(F.lit(",".join(map(str, flip_masks(hi - lo, most_flips)))), ",").cast("array<bigint>") for lo, hi in parts))
     probes = codes.select(
         "label", "dim", F.col("code").alias("a"),
         F.posexplode(F.array(*(part(F.col("code"), lo, hi) for lo, hi in parts))).alias("t", "own"),
@@ -160,7 +188,7 @@ def code_pairs(codes: DataFrame, bits: int, radius: int) -> DataFrame:
     differ = F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.lit(False)
     for i, (lo, hi) in enumerate(parts[:-1]):
-        earlier = earlier | ((F.col("t") > i) & (F.bit_count(part(differ, lo, hi)) <= 1))
+        earlier = earlier | ((F.col("t") > i) & (F.bit_count(part(differ, lo, hi)) <= most_flips))
     return met.where(~earlier).where(F.bit_count(differ) <= radius).select("label", "dim", "a", "b")
 
 
@@ -169,10 +197,8 @@ def itq_near_dedup(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector."""
     spark = vectors.sparkSession
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("label"),
-        F.transform("embedding", lambda x: x.cast("float")).alias("embedding"),
-    )
+    number = "double" if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else "float"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     good = rows.where(is_valid())
     # One row for all copies of a vector; partial aggregation, so a hot copy stays cheap.
     heads = materialise(
@@ -184,24 +210,23 @@ def itq_near_dedup(
     if dim is None:
         return alone
     sample = heads.select("embedding").orderBy(F.xxhash64("head"), "head").limit(fit_rows).toArrow()
-    units = matrix(sample["embedding"].combine_chunks(), dim)
-    units /= np.sqrt((units * units).sum(1))[:, None]
+    units = unit_rows(sample["embedding"].combine_chunks(), dim)
     bits = min(64, dim)
     mean, projection = fit_itq(units, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("embedding"), dim)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = unit_rows(batch.column("embedding"), dim)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encode(x, mean, projection))], [*batch.schema.names, "code"])
 
     indexed = materialise(
-        heads.mapInArrow(run, f"label {dict(heads.dtypes)['label']}, embedding array<float>, head long, copies long, dim int, code long"),
+        heads.mapInArrow(run, f"label {dict(heads.dtypes)['label']}, embedding array<{number}>, head long, copies long, dim int, code long"),
         "itq-codes",
     )
     cells = indexed.groupBy("label", "dim", "code").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     cells = materialise(cells, "itq-cells")
-    met = code_pairs(cells.select("label", "dim", "code"), bits, radius)
+    most = cells.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
+    met = code_pairs(cells.select("label", "dim", "code"), bits, radius, *layout(most, bits))
     own = cells.select("label", "dim", F.col("code").alias("a"), F.col("code").alias("b"))
     sized = (
         met.unionByName(own)
@@ -210,21 +235,23 @@ def itq_near_dedup(
     )
     dealt = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
     dealt = dealt.select("*", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)).alias("j"))
-    dealt = dealt.withColumn("pair", F.xxhash64("label", "dim", "a", "b", "i", "j"))
+    # Two hashes of 64 bits name a pair of blocks: one could be shared by pairs of other labels.
+    names = ("label", "dim", "a", "b", "i", "j")
+    dealt = dealt.withColumn("pair", F.xxhash64(*names)).withColumn("pair2", F.xxhash64(F.lit("second"), *names))
     twin = F.col("a").eqNullSafe(F.col("b")) & (F.col("i") == F.col("j"))
     posted = dealt.select(
-        "label", "dim", "pair", F.explode(
+        "label", "dim", "pair", "pair2", F.explode(
             F.when(twin, F.array(F.struct(F.lit(OWN).alias("side"), F.col("a").alias("code"), F.col("i").alias("block"))))
             .otherwise(F.array(
                 F.struct(F.lit(0).alias("side"), F.col("a").alias("code"), F.col("i").alias("block")),
                 F.struct(F.lit(1).alias("side"), F.col("b").alias("code"), F.col("j").alias("block")),
             ))
         ).alias("p"),
-    ).select("label", "dim", "pair", "p.side", "p.code", "p.block")
+    ).select("label", "dim", "pair", "pair2", "p.side", "p.code", "p.block")
     members = indexed.join(cells, ["label", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
-    meeting = posted.join(members, ["label", "dim", "code", "block"]).select("pair", "side", "head", "copies", "embedding")
+    meeting = posted.join(members, ["label", "dim", "code", "block"]).select("pair", "pair2", "side", "head", "copies", "embedding")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meeting = meeting.repartition(n, "pair").sortWithinPartitions("pair", "side")
+    meeting = meeting.repartition(n, "pair").sortWithinPartitions("pair", "pair2", "side")
     found = materialise(rerank(meeting, dim, threshold), "itq-links")
     sums = found.groupBy("head").agg(F.sum("linked").alias("linked"))
     member = components(found.select(F.col("head").alias("u"), F.col("root").alias("v")), "itq-components")

@@ -8,13 +8,13 @@ taken over bigrams with their multiplicity, so a passage of n words has n - 1 of
 Pruning, all exact for a Dice of ``min_dice`` or more: a template of b bigrams only matches
 passages of between b * t / (2 - t) and b * (2 - t) / t bigrams; and such a passage shares
 at least one of the template's rarest b - ceil(b * t / (2 - t)) + 1 bigrams (by bigram, not
-position), which is looked up by a broadcast join on that fixed list, after a set test for the
-rarer words of those bigrams. Only the few passages that
+position), which is looked up by a broadcast join on that fixed list, after a test for the
+rarer words of those bigrams: of the whole text before it is cut, then of each passage. Only the few passages that
 meet a template that way are compared in full, inside their row; nothing but those is shuffled.
 
 Defined results: null or empty text has no passages; equal scores go to the first template by
-name; repeated ids give rows each; an empty table gives an empty result; extra columns are
-ignored.
+name; rows that repeat an id or have a null one give matches each; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_column
+from weftline.llm.common import any_of, text_column
 from weftline.llm.host_quality import let
 
 # The wording of public licences and of the notices that name them.
@@ -39,11 +39,64 @@ TEMPLATES = {
         "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
         "limitations under the License."
     ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
+        "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS "
+        "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "BSD-2-Clause-notice": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name "
+        "of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+        "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the "
+        "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to "
+        "do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above "
+        "license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in "
+        "part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+        "machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY "
+        "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE "
+        "FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This "
+        "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have "
+        "received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, "
+        "Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    ),
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": (
@@ -60,7 +113,14 @@ TEMPLATES = {
         "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
         "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
     "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "MIT-licensed-notice": "Licensed under the MIT License.",
     "MIT-notice": "Released under the MIT License.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
@@ -73,7 +133,28 @@ TEMPLATES = {
         "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
         "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
     "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+        "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+        "any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+        "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The "
+        "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+        "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered "
+        "source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice "
+        "may not be removed or altered from any source distribution."
+    ),
 }
 
 # Frequent English words, which make a bigram a poor key.
@@ -121,7 +202,8 @@ def _bigrams(words: Column) -> Column:
 
 
 def passages(docs: DataFrame, least: int, most: int) -> DataFrame:
-    """``doc_id, kind, place, passage`` of the passages with a number of bigrams in reach."""
+    """``doc_id, kind, place, row, passage`` of the passages with a number of bigrams in reach;
+    ``row`` tells the table's rows apart, whatever their ids."""
     text = text_column(docs)
     # Each list is bound once by ``let``: a plain alias may be copied into what uses it.
     plain = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.btrim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
@@ -139,8 +221,8 @@ def passages(docs: DataFrame, least: int, most: int) -> DataFrame:
     def both(lines: Column) -> Column:
         return let(F.split(F.btrim(F.array_join(lines, "\n"), F.lit("\n")), "\n\n+"), lambda blocks: found(lines, blocks))
 
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(let(plain, both)).alias("u"))
-    units = units.select("doc_id", "u.kind", "u.place", F.translate("u.passage", "\n", " ").alias("passage"))
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.explode(let(plain, both)).alias("u"))
+    units = units.select("doc_id", "row", "u.kind", "u.place", F.translate("u.passage", "\n", " ").alias("passage"))
     size = F.length("passage") - F.length(F.replace("passage", F.lit(" "), F.lit("")))
     return units.withColumn("size", size).where(F.col("size").between(least, most))
 
@@ -153,15 +235,18 @@ def license_scan(docs: DataFrame, min_dice: float = 0.8, templates: dict[str, st
     known = spark.createDataFrame(
         rows, "license string, b int, least int, most int, kinds array<string>, counts array<int>, keys array<string>"
     )
-    units = passages(docs, min(r[2] for r in rows), max(r[3] for r in rows))
-    # A key bigram brings its rarer word along: most passages have none of those and end here.
+    # A key bigram brings its rarer word along: most texts and passages have none of those and
+    # end here, texts before they are cut.
     signs = sorted({max(key.split(), key=lambda w: (w not in FREQUENT and not w.isdigit(), len(w), w)) for r in rows for key in r[6]})
+    low = F.lower(text_column(docs))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"), let(low, lambda x: any_of([F.contains(x, F.lit(s)) for s in signs])).alias("_signed"))
+    units = passages(numbered.where("_signed"), min(r[2] for r in rows), max(r[3] for r in rows))
     units = units.where(F.arrays_overlap(F.split("passage", " "), F.array(*map(F.lit, signs))))
     units = units.withColumn("_grams", bigrams(F.col("passage")))
     keyed = F.broadcast(known.select("license", "least", "most", F.explode("keys").alias("key")))  # a fixed list
-    met = units.select("doc_id", "kind", "place", "passage", "size", F.explode(F.array_distinct("_grams")).alias("key")).join(keyed, "key")
+    met = units.select("doc_id", "row", "kind", "place", "passage", "size", F.explode(F.array_distinct("_grams")).alias("key")).join(keyed, "key")
     met = met.where(F.col("size").between(F.col("least"), F.col("most")))
-    met = met.select("doc_id", "kind", "place", "passage", "size", "license").distinct()
+    met = met.select("doc_id", "row", "kind", "place", "passage", "size", "license").distinct()
     pairs = met.join(F.broadcast(known.select("license", "b", "kinds", "counts")), "license")
     pairs = pairs.withColumn("_grams", bigrams(F.col("passage")))
     shared = F.aggregate(
@@ -169,8 +254,8 @@ def license_scan(docs: DataFrame, min_dice: float = 0.8, templates: dict[str, st
         F.lit(0),
         lambda a, x: a + x,
     )
-    scored = pairs.select("doc_id", "kind", "place", "license", (2.0 * shared / (F.col("size") + F.col("b"))).alias("dice"))
-    best = scored.where(F.col("dice") >= min_dice).groupBy("doc_id", "kind", "place").agg(
+    scored = pairs.select("doc_id", "row", "kind", "place", "license", (2.0 * shared / (F.col("size") + F.col("b"))).alias("dice"))
+    best = scored.where(F.col("dice") >= min_dice).groupBy("doc_id", "row", "kind", "place").agg(
         F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("top")
     )
     return best.select("doc_id", "kind", "place", F.col("top.license").alias("license"), (-F.col("top.less")).alias("dice"))
@@ -184,20 +269,20 @@ WITH t(license, words) AS (VALUES {values}),
 tw AS (SELECT license, string_split(words, ' ') AS w FROM t),
 tb AS (SELECT license, len(w) - 1 AS b, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM tw),
 tg AS (SELECT license, gram, count(*) AS n FROM (SELECT license, unnest(g) AS gram FROM tb) GROUP BY ALL),
-d AS (SELECT doc_id, list_transform(string_split(lower(coalesce(text, '')), chr(10)),
+d AS (SELECT doc_id, row_number() OVER () AS r, list_transform(string_split(lower(coalesce(text, '')), chr(10)),
              lambda x: trim(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS lines FROM documents),
-e AS (SELECT doc_id, lines, string_split_regex(trim(array_to_string(lines, chr(10)), chr(10)), '\n\n+') AS blocks FROM d),
+e AS (SELECT doc_id, r, lines, string_split_regex(trim(array_to_string(lines, chr(10)), chr(10)), '\n\n+') AS blocks FROM d),
 u AS (
-  SELECT doc_id, 'line' AS kind, unnest(range(0, len(lines))) AS place, unnest(lines) AS passage FROM e
-  UNION ALL SELECT doc_id, 'block', unnest(range(0, len(blocks))), unnest(blocks) FROM e
-  UNION ALL SELECT doc_id, 'text', 0, array_to_string(blocks, chr(10)) FROM e WHERE len(blocks) > 1),
-v AS (SELECT doc_id, kind, place, string_split(replace(passage, chr(10), ' '), ' ') AS w FROM u
+  SELECT doc_id, r, 'line' AS kind, unnest(range(0, len(lines))) AS place, unnest(lines) AS passage FROM e
+  UNION ALL SELECT doc_id, r, 'block', unnest(range(0, len(blocks))), unnest(blocks) FROM e
+  UNION ALL SELECT doc_id, r, 'text', 0, array_to_string(blocks, chr(10)) FROM e WHERE len(blocks) > 1),
+v AS (SELECT doc_id, r, kind, place, string_split(replace(passage, chr(10), ' '), ' ') AS w FROM u
       WHERE kind <> 'block' OR contains(passage, chr(10))),
-s AS (SELECT doc_id, kind, place, len(w) - 1 AS size, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g
+s AS (SELECT doc_id, r, kind, place, len(w) - 1 AS size, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g
       FROM v WHERE len(w) - 1 <= (SELECT max(b) * {2 - min_dice} / {min_dice} FROM tb)),
-sg AS (SELECT doc_id, kind, place, size, gram, count(*) AS n FROM (SELECT doc_id, kind, place, size, unnest(g) AS gram FROM s) GROUP BY ALL),
-p AS (SELECT doc_id, kind, place, license, 2.0 * sum(least(sg.n, tg.n)) / (any_value(size) + any_value(b)) AS dice
-      FROM sg JOIN tg USING (gram) JOIN tb USING (license) GROUP BY doc_id, kind, place, license)
+sg AS (SELECT doc_id, r, kind, place, size, gram, count(*) AS n FROM (SELECT doc_id, r, kind, place, size, unnest(g) AS gram FROM s) GROUP BY ALL),
+p AS (SELECT doc_id, r, kind, place, license, 2.0 * sum(least(sg.n, tg.n)) / (any_value(size) + any_value(b)) AS dice
+      FROM sg JOIN tg USING (gram) JOIN tb USING (license) GROUP BY doc_id, r, kind, place, license)
 SELECT doc_id, kind, place::BIGINT AS place, license, dice::DOUBLE AS dice FROM p WHERE dice >= {min_dice}
-QUALIFY row_number() OVER (PARTITION BY doc_id, kind, place ORDER BY dice DESC, license) = 1
+QUALIFY row_number() OVER (PARTITION BY r, kind, place ORDER BY dice DESC, license) = 1
 """

@@ -10,11 +10,12 @@ archive, offset and length.
 
 Equal payloads of at least ``revisit_bytes`` bytes are stored once: the one with the largest
 page_id is a ``response``, the others are ``revisit`` records without payload that name its
-record id. Digests are grouped with partial aggregation, so a hot payload never meets in a
-task; only digests of several pages are joined back, which Spark broadcasts while they are few
-and otherwise does in one shuffle of the payloads.
+record id. Digests are grouped with partial aggregation; what revisits refer to is joined back by
+page_id, so a hot payload never meets in a task. That join is a broadcast while revisits are few and
+otherwise one shuffle of the payloads.
 
-Defined results: null html is an empty payload; a null url is left out of the record's header;
+Defined results: null html is an empty payload; a null url is left out of the record's header, and
+so is a null page_id, whose record is always a response that nothing refers to;
 of rows that repeat one page_id and payload one (the response's row by page_id) counts each, so
 all of them are responses; an empty table gives no archive and an empty result.
 """
@@ -41,14 +42,17 @@ DATE = "1970-01-01T00:00:00Z"  # a fixed capture time keeps archives reproducibl
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}"
+def record_id(page_id: int | None) -> str:
+    """A page's record id; records without a page each get one of their own."""
+    return f"urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, size: int, kind: str, refers: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, kind: str, refers: int | None) -> bytes:
     """One uncompressed record: header lines, a blank line, the block and two line ends."""
     block = payload if kind == "response" else b""
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<{record_id(page_id)}>", "WARC-Date": DATE, "WARC-Page-ID": str(page_id)}
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<{record_id(page_id)}>", "WARC-Date": DATE}
+    if page_id is not None:
+        head["WARC-Page-ID"] = str(page_id)
     if url is not None:
         head["WARC-Target-URI"] = "".join(url.split("\r")).replace("\n", "")
     head |= {"WARC-Payload-Digest": f"sha1:{digest}", "WARC-Payload-Length": str(size)}
@@ -162,14 +166,13 @@ def classified(pages: DataFrame, revisit_bytes: int) -> DataFrame:
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
     )
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
-    # The digest pass reads payloads but shuffles digests alone; copies are rare, so only those
-    # digests that occur on several pages come back to the join.
-    copied = (
-        rows.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.min("page_id").alias("_low"))
-        .where("_low < first").drop("_low")
-    )
-    rows = rows.join(copied, ["digest", "size"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id") < F.col("first"))
+    # The digest pass reads payloads but shuffles ids and digests alone, and only those of copies
+    # come back to the pages, by id: a hot payload is dealt out by its many pages.
+    narrow = materialise(rows.where((F.col("size") >= revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "size"), "warc-digests")
+    copied = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.min("page_id").alias("_low")).where("_low < first")
+    revisits = narrow.join(copied.drop("_low"), ["digest", "size"]).where("page_id < first").select("page_id", "digest", "first").distinct()
+    rows = rows.join(revisits, ["page_id", "digest"], "left")
+    revisit = F.col("first").isNotNull()
     return rows.select(
         "page_id", "url", "payload", "size", "digest",
         F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers"),
@@ -182,10 +185,14 @@ def write_archives(
 ) -> DataFrame:
     """Write archives of all pages to ``folder`` and return the manifest."""
 
+    def listed(found: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        names = ["archive", "page_id", "record_offset", "record_length"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Names are new on each attempt; the manifest lists those of the attempt that succeeded.
         writer: ArchiveWriter | None = None
-        names = ["archive", "page_id", "record_offset", "record_length"]
         try:
             for batch in batches:
                 found: list[tuple] = []
@@ -200,12 +207,12 @@ def write_archives(
                     raw = record(page, url, payload, digest, size, kind, refers)
                     found += [(writer.uri, *x) for x in writer.add(page, raw)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names)
+                    yield listed(found)
             if writer is not None:
                 done, writer = writer, None
                 found = [(done.uri, *x) for x in done.close()]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names)
+                    yield listed(found)
         except BaseException as error:
             if writer is not None:
                 writer.abort(error)
@@ -232,7 +239,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         refers = head.get("WARC-Refers-To-Page-ID")
                         ok = kind == "revisit" or hashlib.sha1(block).hexdigest() == digest
                         size = len(block) if kind == "response" else int(head["WARC-Payload-Length"])
-                        rows.append((int(head["WARC-Page-ID"]), size, digest, kind, int(refers) if refers else None, uri, ok))
+                        page = head.get("WARC-Page-ID")
+                        rows.append((int(page) if page else None, size, digest, kind, int(refers) if refers else None, uri, ok))
                         if len(rows) >= 1 << 12:
                             yield table_of(rows)
                             rows = []
