@@ -129,12 +129,11 @@ def host_quality(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -
 
 
 def quality_filter(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The documents kept, with all their columns; each row is judged by its own counts."""
+    """The documents kept, with all their columns; each row is judged by its own counts, which are
+    taken once and written beside it."""
     columns = docs.columns
-    keys = docs.select(F.col(host).alias("host"), "text")
-    counts = measured(keys, ["host"])
-    found = verdicts(counts, "host", max_rate).where(~F.col("host_ok")).select("_host")
-    failed = let(measures(text_column(docs)), lambda m: base_failed(m.getField))
-    kept = docs.withColumn("_row", F.struct(*columns)).where(~failed).select("_row")
-    kept = kept.join(found, F.col(f"_row.{host}").eqNullSafe(F.col("_host")), "left_anti")
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col(host).alias("host"), "text")
+    judged = materialise(measured(rows, ["_row", "host"]), "quality-judged")
+    found = verdicts(judged, "host", max_rate).where(~F.col("host_ok")).select("_host")
+    kept = judged.where(~base_failed()).join(found, judged["host"].eqNullSafe(found["_host"]), "left_anti")
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in columns))

@@ -98,7 +98,7 @@ class Kept(dict):
 class CachedTokenizer:
     """``encode_all(texts)`` gives the ids of each text as arrays of ``dtype``."""
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_column
+from weftline.llm.common import materialise, text_column
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -150,32 +150,34 @@ def fit(
             lists = pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "label", "f", "times"])
 
-    got = chosen.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, f array<int>, times array<int>").toArrow()
-    got = got.sort_by("doc_id").combine_chunks()
-    label_of = got["label"].to_numpy()
-    lists = got["f"].chunk(0) if got["f"].num_chunks else pa.array([], pa.list_(pa.int32()))
-    counts = np.diff(lists.offsets.to_numpy())
-    names, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    times = got["times"].chunk(0).flatten().to_numpy() if got["times"].num_chunks else np.zeros(0, np.int32)
+    lists = chosen.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, f array<int>, times array<int>")
+    lists = materialise(lists.withColumn("row", F.monotonically_increasing_id()), "toxicity-features")
+    # Features are chosen by the executors; the driver gets the chosen ones of the sample's texts.
+    known_rows = lists.select("row", "doc_id", "label").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    label_of = known_rows["label"].to_numpy()
     toxic = label_of > 0
+    with_f = lists.select("row", (F.col("label") > 0).cast("int").alias("t"), F.explode(F.arrays_zip("f", "times")).alias("x")).select("row", "t", "x.f", "x.times")
+    odds_of = F.log((F.col("n_toxic") + 0.5) / F.lit(float(toxic.sum() + 1))) - F.log((F.col("n_clean") + 0.5) / F.lit(float((~toxic).sum() + 1)))
+    seen = with_f.groupBy("f").agg(F.sum("t").alias("n_toxic"), F.sum(1 - F.col("t")).alias("n_clean"))
+    seen = seen.where((F.col("n_toxic") + F.col("n_clean") >= min_docs) & (odds_of >= min_odds)).withColumn("odds", odds_of)
+    chosen_f = materialise(seen, "toxicity-chosen")
+    features = chosen_f.toArrow().sort_by("f")
+    kept, leaning = features["f"].to_numpy(), features["odds"].to_numpy() >= 3.0
+    cells = with_f.join(chosen_f.select("f"), "f").select("row", "f", "times").toArrow()
+    row_at = {r: i for i, r in enumerate(known_rows["row"].to_pylist())}
+    row = np.array([row_at[r] for r in cells["row"].to_pylist()], np.int32)
+    column, times = np.searchsorted(kept, cells["f"].to_numpy()), cells["times"].to_numpy()
+    order = np.lexsort((column, row))
+    row, column, times = row[order], column[order], times[order]
     side = np.where(toxic, weight[1], weight[0])
-    in_toxic = np.bincount(flat, toxic[row], minlength=len(names))
-    in_clean = np.bincount(flat, ~toxic[row], minlength=len(names))
-    odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic).sum() + 1))
-    use = (in_toxic + in_clean >= min_docs) & (odds >= min_odds)
-    leaning = use & (odds >= 3.0)
-    amount = np.bincount(row, times * leaning[flat], minlength=len(counts))
+    amount = np.bincount(row, times * leaning[column], minlength=len(label_of))
     if set(np.unique(label_of)) <= {0, 1}:
         middle = np.median(amount[toxic])
         grades = np.where(toxic, np.where(amount > middle, 2, 1), 0)
         grades = grades if (grades == 2).any() and (grades == 1).any() else toxic.astype(int)
     else:
         grades = np.searchsorted(np.unique(label_of), label_of)
-    renumbered = np.cumsum(use) - 1
-    held = use[flat]
-    w, cut = fit_ordinal(row[held], renumbered[flat[held]], times[held].astype(float), grades, side, int(use.sum()))
-    kept = names[use]
+    w, cut = fit_ordinal(row, column, times.astype(float), grades, side, len(kept))
     return OrdinalModel({int(kept[i]): float(w[i]) for i in np.flatnonzero(w)}, tuple(map(float, cut)))
 
 
