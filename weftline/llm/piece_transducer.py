@@ -183,7 +183,7 @@ class Transducer:
         self.unknown_cost = 10.0 - min(normal, default=0.0)
         if not self.merging:
             self.score |= {p: len(p.encode()) * max(normal, default=0.0) - 0.1 for p in self.own}
-        self.trie = trie_of({p: p for p in self.ids})
+        self.trie = trie_of({p: (p, -self.score[p]) for p in self.ids})
         self.own_trie = trie_of({p: p for p in self.own})
         self.map = character_map(model.map)
         self.map_trie = trie_of(self.map)
@@ -247,41 +247,49 @@ class Transducer:
             self.known.clear()
         return self.known.setdefault(state, {})
 
-    def arcs(self, text: str, at: int) -> list[tuple[str, float]]:
-        """Pieces that the composition can read at a place, with minus their scores."""
-        node, score, first = self.trie.get(text[at]), self.score, text[at]
-        out = [(first, self.unknown_cost)] if node is None or "" not in node else []
-        for i in range(at + 1, len(text) + 1):
-            if node is None:
+    def arcs(self, text: str, at: int) -> list[tuple[int, str, float]]:
+        """What the composition can read at a place: where it ends, the piece, minus its score."""
+        node, end, n = self.trie.get(text[at]), at + 1, len(text)
+        out = [(end, text[at], self.unknown_cost)] if node is None or "" not in node else []
+        while node is not None:
+            held = node.get("")
+            if held is not None:
+                out.append((end, *held))
+            if end == n:
                 break
-            if "" in node:
-                out.append((node[""], -score[node[""]]))
-            node = node.get(text[i]) if i < len(text) else None
+            node = node.get(text[end])
+            end += 1
         return out
 
     def shortest_path(self, text: str) -> tuple[list[str], float]:
         """Pieces and weight of the best path through the composition with a text."""
-        n, merging, plus = len(text), self.merging, self.plus
+        n, merging, plus, known = len(text), self.merging, self.plus, self.known
         # By place and state: the least weight to get there, and the place, state and piece before.
-        reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
-        reached[0][START] = (0.0, 0, START, START)
+        reached: list[dict[str, tuple] | None] = [None] * (n + 1)
+        reached[0] = {START: (0.0, 0, START, START)}
         for at in range(n):
-            if not reached[at]:
+            here = reached[at]
+            if here is None:
                 continue
             arcs = self.arcs(text, at)
-            for state, (total, *_) in reached[at].items():
-                zeros = self.zeros(state)
-                for piece, cost in arcs:
+            for state, back in here.items():
+                total, zeros = back[0], known.get(state)
+                if zeros is None:
+                    zeros = self.zeros(state)
+                for end, piece, cost in arcs:
                     zero = zeros.get(piece)
                     if zero is None:
                         zero = zeros[piece] = self.zero(state, piece)
                     if zero:
                         continue
-                    there, to, new = reached[at + len(piece)], piece if merging else START, plus(total, cost)
-                    if to not in there or new < there[to][0]:
+                    there, to, new = reached[end], piece if merging else START, plus(total, cost)
+                    if there is None:
+                        reached[end] = {to: (new, at, state, piece)}
+                    elif to not in there or new < there[to][0]:
                         there[to] = (new, at, state, piece)
-        best = min(reached[n], key=lambda s: reached[n][s][0])
-        pieces, at, state, total = [], n, best, reached[n][best][0]
+        last = reached[n]
+        best = min(last, key=lambda s: last[s][0])
+        pieces, at, state, total = [], n, best, last[best][0]
         while at:
             _, at, state, piece = reached[at][state]
             pieces.append(piece)
@@ -348,7 +356,7 @@ class Encoder:
 
     def __init__(self, raw: bytes):
         self.machine = Transducer(PieceModel(raw))
-        self.paths, self.words = Kept(self.path, 300_000), Kept(self.word, 500_000)
+        self.paths, self.words = Kept(self.path, 700_000), Kept(self.word, 400_000)
         model, pairs = self.machine.model, self.machine.pairs
         #: Spaces and line ends are cut in Arrow, where no piece but a run of spaces crosses them.
         plain = not any(p[1] == SPACE != p[0] for p in pairs) and not any("\n" in p for p in pairs)
@@ -357,13 +365,13 @@ class Encoder:
         #: A single unknown id stands for unspelt neighbours, so words must not be taken apart.
         self.fused = not model.byte_fallback
 
-    def path(self, part: str) -> tuple[list[int], float]:
+    def path(self, part: str) -> tuple[bytes, float]:
         """Ids and weight of a part's shortest path."""
         machine = self.machine
         if machine.merging and part in machine.own:
-            return [machine.ids[part]], -machine.score[part]
+            return array("I", [machine.ids[part]]).tobytes(), -machine.score[part]
         pieces, cost = machine.shortest_path(part)
-        return [i for x in pieces for i in machine.piece_ids(x)], cost
+        return array("I", [i for x in pieces for i in machine.piece_ids(x)]).tobytes(), cost
 
     def word(self, word: str) -> tuple[bytes, int, float, bool]:
         """Ids, byte pieces, weight and whether the ids decode to the word again."""
@@ -375,7 +383,7 @@ class Encoder:
 
     def encoded(self, normal: str) -> tuple[list[int], float]:
         found = [self.paths[x] for x in self.machine.parts(normal)]
-        ids = [i for f in found for i in f[0]]
+        ids = array("I", b"".join([f[0] for f in found])).tolist()
         if self.fused:
             unknown = self.machine.unknown
             ids = [i for k, i in enumerate(ids) if i != unknown or not k or ids[k - 1] != unknown]
