@@ -158,7 +158,7 @@ TEMPLATES = {
 }
 
 # Frequent English words, which make a bigram a poor key.
-FREQUENT = frozenset("a an and any by for from in is it not of on or other that the this to with".split())
+FREQUENT = frozenset("a all an and any as at be being but by for from in is it may must no not of on or other so such that the this to was way will with you your".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -170,6 +170,16 @@ def size_bounds(bigrams: int, min_dice: float) -> tuple[int, int]:
     return math.ceil(bigrams * min_dice / (2 - min_dice) - 1e-9), math.floor(bigrams * (2 - min_dice) / min_dice + 1e-9)
 
 
+def rarity(word: str) -> int:
+    """Longer words are rarer; frequent ones and numbers come last."""
+    return 0 if word in FREQUENT or word.isdigit() else len(word)
+
+
+def sign_of(bigram: str) -> str:
+    """The rarer word of a bigram."""
+    return max(bigram.split(), key=lambda w: (rarity(w), len(w), w))
+
+
 def template_rows(templates: dict[str, str], min_dice: float) -> list[tuple]:
     """``(license, size, least, most, bigram kinds, their counts, keys)`` of each template."""
     rows = []
@@ -180,7 +190,7 @@ def template_rows(templates: dict[str, str], min_dice: float) -> list[tuple]:
         least, most = size_bounds(size, min_dice)
         # A passage that has none of the key bigrams shares at most the others' occurrences,
         # and these are fewer than the least overlap any match needs.
-        rare = sorted(counts, key=lambda b: (sum(w in FREQUENT or w.isdigit() for w in b.split()), -len(b), b))
+        rare = sorted(counts, key=lambda b: (-rarity(sign_of(b)), sum(w in FREQUENT or w.isdigit() for w in b.split()), -len(b), b))
         others, keys = size, []
         for b in rare:
             if others < least:
@@ -192,6 +202,12 @@ def template_rows(templates: dict[str, str], min_dice: float) -> list[tuple]:
     return rows
 
 
+def holds(text: Column, word: str) -> Column:
+    """Whether a text may hold a word; short ones, which many words contain, only by themselves."""
+    found = F.contains(text, F.lit(word))
+    return found if len(word) > 3 else found & F.rlike(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"))
+
+
 def bigrams(passage: Column) -> Column:
     """Bigrams of a normalised passage, which is split once and not for each word."""
     return let(F.split(passage, " "), _bigrams)
@@ -237,9 +253,9 @@ def license_scan(docs: DataFrame, min_dice: float = 0.8, templates: dict[str, st
     )
     # A key bigram brings its rarer word along: most texts and passages have none of those and
     # end here, texts before they are cut.
-    signs = sorted({max(key.split(), key=lambda w: (w not in FREQUENT and not w.isdigit(), len(w), w)) for r in rows for key in r[6]})
+    signs = sorted({sign_of(key) for r in rows for key in r[6]})
     low = F.lower(text_column(docs))
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"), let(low, lambda x: any_of([F.contains(x, F.lit(s)) for s in signs])).alias("_signed"))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"), let(low, lambda x: any_of([holds(x, s) for s in signs])).alias("_signed"))
     units = passages(numbered.where("_signed"), min(r[2] for r in rows), max(r[3] for r in rows))
     units = units.where(F.arrays_overlap(F.split("passage", " "), F.array(*map(F.lit, signs))))
     units = units.withColumn("_grams", bigrams(F.col("passage")))
