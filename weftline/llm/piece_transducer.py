@@ -182,7 +182,7 @@ class Transducer:
         # characters, as in the public unigram encoder.
         self.unknown_cost = 10.0 - min(normal, default=0.0)
         if not self.merging:
-            self.score |= {p: len(p.encode()) * max(normal, default=0.0) - 0.1 for p in self.own}
+            self.score |= {p: len(p) * max(normal, default=0.0) - 0.1 for p in self.own}
         self.trie = trie_of({p: (p, -self.score[p]) for p in self.ids})
         self.own_trie = trie_of({p: p for p in self.own})
         self.map = character_map(model.map)
