@@ -83,3 +83,15 @@ def test_permutation_does_not_depend_on_partitioning(spark):
 def test_permutation_needs_no_exchange(spark):
     plan = permute.permutation(spark, 1 << 18, 1)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_legacy_numpy_surface():
+    row = rng.RowRng(9, 1, 5)
+    a, b = row.numpy_legacy(), row.numpy_legacy()
+    state = a.get_state()
+    first = a.rand(3).tolist()
+    assert first == b.rand(3).tolist()
+    a.set_state(state)
+    assert a.rand(3).tolist() == first
+    expected = np.random.RandomState((rng.key64(9, 1) ^ rng.splitmix64(8)) % 2**32).rand(3).tolist()
+    assert first == expected

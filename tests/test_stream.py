@@ -504,3 +504,11 @@ def test_sources_by_kind(spark, tmp_path):
     spark.range(5).write.json(str(tmp_path / "j"))
     assert sorted(r["index"] for r in readers.source(spark, "json", str(tmp_path / "j")).collect()) == list(range(5))
     assert readers.source(spark, "callable", lambda i: {"sq": i * i}, 3, "sq long").count() == 3
+
+
+@pytest.mark.parametrize("n", [1, 999, 250_000])
+def test_profile_percentile_equals_a_sort(spark, n):
+    rows = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(9973)).cast("double").alias("estimate"))
+    got = stats.profile_statistics(rows).first()
+    values = sorted(float(i * 7919 % 9973) for i in range(n))
+    assert (got["p999"], got["populated"]) == (values[min(max(-(-n * 999 // 1000) - 1, 0), n - 1)], n)

@@ -157,6 +157,11 @@ class RowRng:
         key = [self.key ^ splitmix64(stream), 0]
         return np.random.Generator(np.random.Philox(counter=np.array([self.coord, 0, 0, 0], np.uint64), key=np.array(key, np.uint64)))
 
+    def numpy_legacy(self) -> np.random.RandomState:
+        """The old-style generator, whose state can be read and set; seeded by the low 32 bits of
+        the key of the numpy state stream."""
+        return np.random.RandomState((self.key ^ splitmix64(STATE_NUMPY)) & 0xFFFFFFFF)
+
     def torch_seed(self, stream: int = SAMPLE) -> int:
         w = keyed_block(self.key, np.uint64(self.coord), 0, stream)
         return int(w[0]) | (int(w[1]) << 32)
