@@ -25,13 +25,13 @@ slice of texts, a bounded cache of the worker keeps their paths, and a text's id
 
 Defined results: null or empty text has no pieces; a literal U+2581 decodes as a space; rows that
 repeat an id or have a null one are encoded each; an empty table gives an empty result; other
-columns are ignored. Of paths of equal weight the one whose last piece begins first is taken.
+columns are ignored. Of paths of equal weight the one whose last piece begins first is taken; weights
+add up in double precision.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 import struct
 import zlib
 from array import array
@@ -169,8 +169,6 @@ class Transducer:
 
     def __init__(self, model: PieceModel, most_states: int = 100_000):
         self.model, self.merging, self.most_states = model, model.kind == MERGES, most_states
-        # The public unigram encoder adds in single precision, which decides between near equals.
-        self.plus = operator.add if self.merging else lambda a, b: float(np.float32(a) + np.float32(b))
         kinds = list(enumerate(zip(model.pieces, model.kinds, strict=True)))
         self.ids = {p: i for i, (p, k) in kinds if k in (NORMAL, OWN)}
         self.own = [p for _, (p, k) in kinds if k == OWN]
@@ -263,7 +261,7 @@ class Transducer:
 
     def shortest_path(self, text: str) -> tuple[list[str], float]:
         """Pieces and weight of the best path through the composition with a text."""
-        n, merging, plus, known = len(text), self.merging, self.plus, self.known
+        n, merging, known = len(text), self.merging, self.known
         # By place and state: the least weight to get there, and the place, state and piece before.
         reached: list[dict[str, tuple] | None] = [None] * (n + 1)
         reached[0] = {START: (0.0, 0, START, START)}
@@ -282,7 +280,7 @@ class Transducer:
                         zero = zeros[piece] = self.zero(state, piece)
                     if zero:
                         continue
-                    there, to, new = reached[end], piece if merging else START, plus(total, cost)
+                    there, to, new = reached[end], piece if merging else START, total + cost
                     if there is None:
                         reached[end] = {to: (new, at, state, piece)}
                     elif to not in there or new < there[to][0]:
