@@ -130,6 +130,15 @@ def test_recall_of_each_layout_on_planted_pairs(spark, monkeypatch, tables, flip
     assert sum(got[i] == 1 == got[300 + i] for i in range(300)) >= least * 300 - 3
 
 
+@pytest.mark.parametrize("tables, flips", itq_dedup.LAYOUTS[:2])
+def test_probes_are_not_broadcast(spark, tmp_path, tables, flips):
+    """A few thousand codes make a small file but, with flips, a table that must not pass through the driver."""
+    spark.range(3000).selectExpr("1 label", "64 dim", "xxhash64(id) code").write.parquet(str(tmp_path / "codes"))
+    met = itq_dedup.code_pairs(spark.read.parquet(str(tmp_path / "codes")), 64, 16, tables, flips)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_layout_follows_the_number_of_codes():
     assert [itq_dedup.layout(n, 64) for n in (10, 10**5, 10**7, 10**9)] == [(4, 1), (4, 1), (3, 2), (2, 3)]
 

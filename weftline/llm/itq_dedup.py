@@ -184,7 +184,9 @@ def code_pairs(codes: DataFrame, bits: int, radius: int, tables: int, most_flips
     )
     probes = probes.select("label", "dim", "a", "t", "own", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
     probes = probes.select("label", "dim", "a", "t", F.col("own").bitwiseXOR(F.col("flip")).alias("k"))
-    met = probes.join(posts, ["label", "dim", "t", "k"]).where("a < b")
+    # Spark's size estimate takes an exploded table for as small as its source and would broadcast
+    # all probes through the driver; a sort-merge join keeps them on the executors at any size.
+    met = probes.join(posts.hint("merge"), ["label", "dim", "t", "k"]).where("a < b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.lit(False)
     for i, (lo, hi) in enumerate(parts[:-1]):
