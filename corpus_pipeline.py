@@ -25,9 +25,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class: five-word shingles, similarity
-    0.8 or more."""
-    return simhash_similar.keep_first_similar(docs, similarity=0.8, shingle_words=5)
+    """The document of smallest id of each near-duplicate class: five-word shingles, SimHash
+    fingerprints within two bits (pigeonhole blocks), then all pairs of similarity 0.8 or more."""
+    return simhash_similar.keep_first_similar(docs, similarity=0.8, shingle_words=5, max_distance=2)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

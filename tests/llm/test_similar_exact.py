@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from tests.llm.test_pipeline import jaccard, words
 from weftline.llm import simhash_similar
 
@@ -61,3 +62,23 @@ def test_a_crowd_below_the_bound_is_split_exactly(spark, monkeypatch, block_rows
     expected = brute_classes(texts)
     assert len(set(expected.values())) == 12
     assert classes(spark, texts) == expected
+
+
+def test_the_stage_links_fingerprints_within_two_bits(spark):
+    """Texts whose SimHash fingerprints differ in two bits or fewer though their similarity is below
+    0.8, found by comparing all, are one class of the pipeline's stage."""
+    pick = random.Random(12)
+    base = " ".join(words(pick, 10))
+    texts = [f"{base} {w}" for w in words(pick, 120)]  # 6 of 8 shingles are shared
+    texts += [" ".join(words(pick, 80)) for _ in range(10)]
+    prints = [simhash_similar.fingerprint(simhash_similar.shingle_hashes(t.encode().lower().split(), 5)) for t in texts]
+    expected = brute_classes(texts)
+    apart = {(i, j) for i in range(len(texts)) for j in range(i) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2}
+    for i, j in sorted(apart):
+        a, b = expected[i], expected[j]
+        expected = {k: min(a, b) if c in (a, b) else c for k, c in expected.items()}
+    assert any(jaccard(texts[i], texts[j]) < 0.8 for i, j in apart) and 1 < len(set(expected.values())) < 125
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == set(expected.values())
+    assert classes(spark, texts, max_distance=2) == expected

@@ -1,10 +1,16 @@
-"""Near-duplicate classes by a stated Jaccard similarity of word shingles, through SimHash.
+"""Near-duplicate classes through SimHash: pigeonhole blocks, then a stated Jaccard similarity.
+
+With ``max_distance``, classes are first those of SimHash near-duplicate detection: 64-bit majority
+fingerprints of the distinct shingles, joined on the blocks of bits that a pair within that distance
+must share (``simhash_dedup.links``, nothing dropped in any cell), verified by Hamming distance.
+Every such pair is a link. The steps below add the pairs of the stated similarity whose
+fingerprints lie further apart.
 
 Texts of similarity 0.8 differ in about 15 of 100 fingerprint bits, and no split into blocks that
 are worth joining on is sure to leave an equal one for so many. So the pigeonhole is applied to
 the shingles themselves; candidates are verified by the Hamming distance of ``WIDTH``-bit SimHash
-fingerprints of the shingles, and those left are settled by their shingle sets. Links are thus
-pairs of that similarity exactly; 64-bit hashes stand for shingles.
+fingerprints of the shingles, and those left are settled by their shingle sets. Without
+``max_distance``, links are thus pairs of that similarity exactly; 64-bit hashes stand for shingles.
 
 * Blocks: two sets of n and m shingles have similarity t or more only if they share t / (1 + t) *
   (n + m) of them. So if all sets are put in one common order, a pair's first shared shingle leaves
@@ -43,6 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import simhash_dedup
 from weftline.llm.common import components, materialise, text_column
 
 BUCKET_BITS = 21
@@ -76,30 +83,33 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """``(doc_id, key)`` of every text, where key stands for its words, and from each task
-    ``(part, counts)`` of its shingles' buckets, which stop at 65,535."""
+    """``(doc_id, key, fp)`` of every text, where key stands for its words and fp is its 64-bit
+    fingerprint, and from each task ``(part, counts)`` of its shingles' buckets, which stop at 65,535."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(1 << BUCKET_BITS, np.int64), ["doc_id", "key", "part", "counts"]
+        counts, names = np.zeros(1 << BUCKET_BITS, np.int64), ["doc_id", "key", "fp", "part", "counts"]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
-                keys, found = [], []
+                keys, prints, found = [], [], []
                 for text in rows.column(1).to_pylist():
                     words = text.lower().split()
                     keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    found.append(bucket(shingle_hashes(words, shingle_words)))
+                    hashes = shingle_hashes(words, shingle_words)
+                    prints.append(fingerprint(hashes))
+                    found.append(bucket(hashes))
                 at, n = np.unique(np.concatenate(found), return_counts=True)
                 counts[at] += n
                 none = pa.nulls(rows.num_rows)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                arrays = [rows.column(0), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
         if counts.any():
             cut = np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, 1 << PART_BITS)
             none = pa.nulls(len(cut))
-            arrays = [none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())]
+            arrays = [none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return texts.mapInArrow(run, "doc_id long, key binary, part int, counts binary")
+    return texts.mapInArrow(run, "doc_id long, key binary, fp long, part int, counts binary")
 
 
 def frequent_buckets(signed: DataFrame) -> np.ndarray:
@@ -122,6 +132,29 @@ def frequent_buckets(signed: DataFrame) -> np.ndarray:
     return (out.ravel() > mean + 8 * mean**0.5 + 32).astype(np.uint8)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """Majority bits of a text's shingles as a signed 64-bit integer; 0 without shingles."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        part = hashes[start : start + (1 << 14)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint_links(heads: DataFrame, max_distance: int) -> DataFrame:
+    """Links ``(u, v)`` of ``heads(head, fp)`` that connect just what all pairs of fingerprints
+    within ``max_distance`` bits connect: equal ones, and those the pigeonhole blocks find."""
+    first = materialise(heads.groupBy("fp").agg(F.min("head").alias("first")), "similar-fingerprints")
+    equal = heads.join(first, "fp").where("head <> first").select(F.col("head").alias("u"), F.col("first").alias("v"))
+    near_ = simhash_dedup.links(first.select("fp"), max_distance)
+    apart = (
+        near_.join(first.select(F.col("fp").alias("u"), F.col("first").alias("hu")), "u")
+        .join(first.select(F.col("fp").alias("v"), F.col("first").alias("hv")), "v")
+        .select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    )
+    return materialise(equal.unionByName(apart), "similar-near")
+
+
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """Majority bits of a text's shingles, two 64-bit words; ``hashes`` are the shingles'."""
     ones = np.zeros(WIDTH, np.int64)
@@ -318,24 +351,30 @@ def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_w
     return shared.where(F.col("both") >= similarity * (F.col("n") - F.col("both")) - 1e-9).select("u", "v")
 
 
-def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, cell_limit: int = 32) -> DataFrame:
-    """``(doc_id, component_id)``: the smallest id reachable through links of that similarity."""
+def similar_classes(
+    docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, cell_limit: int = 32, max_distance: int | None = None
+) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest id reachable through links of that similarity, and
+    with ``max_distance`` also through fingerprints within so many bits."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).cast("binary").alias("text"))
     both = materialise(signatures(texts, shingle_words), "similar-signatures")
-    signed = both.where("key is not null").select("doc_id", "key")
-    heads = materialise(signed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head")), "similar-heads")
+    signed = both.where("key is not null").select("doc_id", "key", "fp")
+    heads = materialise(signed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"), F.min("fp").alias("fp")), "similar-heads")
     copies = signed.select("doc_id").distinct().join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_anti")
     copies = materialise(copies.where("doc_id is not null"), "similar-copies")
     alone = chosen_texts(texts.where("doc_id is not null"), copies, "left_anti")
     met = materialise(meetings(prefix_posts(alone, frequent_buckets(both), similarity, shingle_words), similarity, cell_limit), "similar-cells")
     pairs = materialise(met.where("u <> v").select("u", "v").distinct(), "similar-pairs")
-    first = materialise(components(exact_links(pairs, texts, similarity, shingle_words), "similar-components"), "similar-first")
+    linked = exact_links(pairs, texts, similarity, shingle_words)
+    if max_distance is not None:
+        linked = fingerprint_links(heads.select("head", "fp"), max_distance).unionByName(linked)
+    first = materialise(components(linked, "similar-components"), "similar-first")
     open_ = materialise(crowd_pairs(met.where("cell is not null"), first, similarity), "similar-open")
     settled = exact_links(open_, texts, similarity, shingle_words)
     links = first.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(settled)
     member = components(links, "similar-components")
     labelled = heads.join(member, heads["head"] == member["id"], "left").select("key", F.coalesce("component_id", "head").alias("component_id"))
-    return signed.join(labelled, "key", "left").select("doc_id", "component_id")
+    return signed.drop("fp").join(labelled, "key", "left").select("doc_id", "component_id")
 
 
 def keep_first_similar(docs: DataFrame, **options) -> DataFrame:
