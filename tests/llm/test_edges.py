@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from weftline.llm import itq_dedup, license_scan, packing, piece_transducer, simhash_dedup, simhash_similar, suffix_tree_lm, token_files, toxicity, warc_zstd
+from weftline.llm import itq_dedup, license_scan, packing, piece_transducer, queries, simhash_dedup, simhash_similar, suffix_tree_lm, token_files, toxicity, warc_zstd
 from weftline.llm.common import components, vocabulary
 
 BIG = 9007199254740993  # not a double
@@ -238,6 +238,28 @@ def test_tree_scores_equal_plain_code(spark):
     assert sum(e for e, h in zip(expected, held, strict=True) if h) > sum(f for f, h in zip(flat, held, strict=True) if h) + 20
 
 
+def test_the_query_scores_by_the_whole_tree(spark, tmp_path):
+    """Contexts far below any share of the corpus are states too."""
+    pick = random.Random(33)
+    common = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    phrases = [[f"rare{i}", "odd", "strange", f"seldom{i}"] for i in range(12)]
+    pairs = [[f"lone{i}", f"pair{i}"] for i in range(30)]
+    texts = []
+    for _ in range(400):
+        words = [pick.choice(common) for _ in range(250)]
+        for some, share in ((phrases, 1), (pairs, 0.4)):
+            if pick.random() < share:
+                words += [*pick.choice(some), *(pick.choice(common) for _ in range(5))]
+        texts.append(" ".join(words))
+    texts += ["", None, "never seen", " ".join(phrases[0])]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.op8_suffix_tree_scores(spark, str(tmp_path)).collect()}
+    expected, states = plain_tree_scores(texts, held, min_context=0, min_next=0, min_joint=0)
+    assert {1, 3} <= {len(c) for c in states}
+    assert all(abs(got[i] - e) < 1e-6 * max(1, abs(e)) for i, e in enumerate(expected))
+
+
 def test_toxicity_scores_equal_plain_sums(spark):
     pick = random.Random(9)
     plain, bad = "the of and to in is it was".split(), ["idiot", "moron", "scum"]

@@ -87,7 +87,7 @@ FROM c
 
 
 def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), suffix_tree_lm.every_fifth())
+    return suffix_tree_lm.whole_score(table(spark, sf_dir, "documents"), suffix_tree_lm.every_fifth())
 
 
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
