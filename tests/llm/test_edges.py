@@ -5,15 +5,17 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from weftline.llm import itq_dedup, license_scan, packing, piece_transducer, queries, simhash_dedup, simhash_similar, suffix_tree_lm, token_files, toxicity, warc_zstd
-from weftline.llm.common import components, vocabulary
+from weftline.llm import itq_dedup, license_scan, packing, piece_transducer, queries, simhash_dedup, simhash_similar, suffix_tree_lm, suffix_tree_whole, token_files, toxicity, warc_zstd
+from weftline.llm.common import components, shared_dir, vocabulary
 
 BIG = 9007199254740993  # not a double
 
@@ -260,6 +262,59 @@ def test_the_query_scores_by_the_whole_tree(spark, tmp_path):
     assert all(abs(got[i] - e) < 1e-6 * max(1, abs(e)) for i, e in enumerate(expected))
 
 
+def test_the_whole_tree_in_many_buckets_with_hot_contexts(spark):
+    pick = random.Random(35)
+    habit = {w: pick.choices("abcdefgh", k=2) for w in itertools.product("abcdefgh", repeat=3)}
+    line = "the very common line of all texts".split()
+    texts = []
+    for _ in range(300):
+        words = pick.choices("abcdefgh", k=3)
+        for _ in range(pick.randint(0, 60)):
+            chance = pick.random()
+            words += [pick.choice(habit[tuple(words[-3:])])] if chance < 0.8 else ["a", "b", "a"] if chance < 0.95 else [f"rare{pick.randrange(300)}", *"bcd"]
+        texts.append(" ".join([*line, *words] if pick.random() < 0.6 else words))
+    texts += ["", None, "never seen", texts[0], " ".join(["a"] * 500)]
+    ids = [None if i == 7 else i for i in range(len(texts))]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in ids]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    expected, states = plain_tree_scores(texts, held, min_context=0, min_next=0, min_joint=0)
+    assert {1, 2, 3} <= {len(c) for c in states}
+    for options in (dict(bucket=800), dict(bucket=800, common=0.01), dict(bucket=3000, common=0.001)):
+        # From 200 tokens on, words and pairs are hot; each is split among many buckets.
+        got = {r["doc_id"]: r for r in suffix_tree_whole.whole_score(docs, suffix_tree_lm.every_fifth(), **options).collect()}
+        assert len(got) == len(texts)
+        for i, e in zip(ids, expected, strict=True):
+            assert abs(got[i]["score"] - e) < 1e-6 * max(1, abs(e))
+    plain = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, suffix_tree_lm.every_fifth()).collect()}
+    for i, r in got.items():
+        assert all(r[x] == plain[i][x] for x in ("held_out", "n_tokens", "n_known", "train_tokens"))
+        assert abs(r["base_score"] - plain[i]["base_score"]) < 1e-9 * max(1, abs(r["base_score"]))
+    nothing = suffix_tree_whole.whole_score(docs, F.lit(True)).collect()
+    assert len(nothing) == len(texts) and {r["score"] for r in nothing} == {0.0}
+    assert suffix_tree_whole.whole_score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_the_whole_tree_is_within_four_times_the_input(spark, tmp_path):
+    """What op 8 shuffles and the tables that it leaves, together."""
+
+    def shuffled():
+        none = spark._jvm.java.util.ArrayList()
+        stages = spark._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    def written():
+        folder = Path(shared_dir(spark).removeprefix("file://")) / "weftline"
+        return {p: p.stat().st_size for p in folder.rglob("*.parquet")}
+
+    source = Path("/root/testdata/sf0.01/documents.parquet")
+    size = sum(p.stat().st_size for p in ([source] if source.is_file() else source.glob("*.parquet")))
+    before, files = shuffled(), written()
+    assert queries.op8_suffix_tree_scores(spark, "/root/testdata/sf0.01").where("score is not null").count() > 0
+    moved = sum(n for stage, n in shuffled().items() if stage not in before)
+    kept = sum(n for path, n in written().items() if path not in files)
+    assert 0 < moved + kept < 4 * size
+
+
 def test_toxicity_scores_equal_plain_sums(spark):
     pick = random.Random(9)
     plain, bad = "the of and to in is it was".split(), ["idiot", "moron", "scum"]

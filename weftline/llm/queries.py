@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import host_quality, itq_dedup, license_scan, packing, piece_transducer, simhash_dedup, suffix_tree_lm, token_files, toxicity, warc_zstd
+from weftline.llm import host_quality, itq_dedup, license_scan, packing, piece_transducer, simhash_dedup, suffix_tree_lm, suffix_tree_whole, token_files, toxicity, warc_zstd
 from weftline.llm.common import table, vocabulary
 
 ORACLES: dict[str, str] = {}
@@ -87,7 +87,7 @@ FROM c
 
 
 def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_lm.whole_score(table(spark, sf_dir, "documents"), suffix_tree_lm.every_fifth())
+    return suffix_tree_whole.whole_score(table(spark, sf_dir, "documents"), suffix_tree_lm.every_fifth())
 
 
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Probabilistic suffix tree over words: training and whole-text scoring.
 
-``whole_score`` has every context and next symbol found twice or more, in written tables; it is what
-the query uses. ``train`` and ``score`` hold a tree whose size is bounded by shares and broadcast.
+``train`` and ``score`` hold a tree whose size is bounded by shares and broadcast. The query uses
+``suffix_tree_whole``, which has every context and next symbol found twice or more.
 
 Words are byte strings between spaces, A-Z lower-cased; each text ends with one end symbol.
 
@@ -36,16 +36,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialise, text_column
-from weftline.llm.simhash_similar import mixed
 
 END = b"\n"  # no word holds a line end
-SEEN_BITS = 26
 
 
 def text_tokens(text: bytes) -> list[bytes]:
@@ -254,8 +251,8 @@ def grow(lexicon: Lexicon, levels: list[Level], entries: list[tuple[np.ndarray,
 def train(
     texts: DataFrame, max_order: int = 3, min_context: float = 1e-4, min_next: float = 1e-5, min_joint: float = 1e-6, common: float = 1e-6
 ) -> tuple[SuffixTree, DataFrame]:
-    """The tree and the whole vocabulary ``(word, c)``, a written table."""
-    vocabulary = materialise(word_counts(texts), "lm-vocabulary")
+    """The tree and the whole vocabulary ``(word, c, id)``, a written table."""
+    vocabulary = materialise(word_counts(texts).withColumn("id", F.monotonically_increasing_id()), "lm-vocabulary")
     total, distinct, ones, twos = vocabulary.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))
     ).first()
@@ -379,149 +376,3 @@ def score(docs: DataFrame, held_out: Column, trained: tuple[SuffixTree, DataFram
 def every_fifth(doc_id: str = "doc_id") -> Column:
     """Held out: ids whose CRC-32 as text is 1 modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1
-
-
-# The whole tree: every context up to ``max_order`` words, as written tables instead of a broadcast.
-# 64-bit hashes stand for words and word sequences.
-
-
-def gram_keys(texts: list[bytes], max_order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The text and the place of each word of ``texts`` after a first end symbol, and by length the
-    hash of the words that end there (right where the place is at least length - 1)."""
-    digest, flat, lengths = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = [END, *text_tokens(text)]
-        lengths.append(len(words))
-        flat += [digest(w, 42) for w in words]
-    lengths = np.array(lengths, np.int64)
-    h = np.array(flat, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    grams = [h]
-    for k in range(1, max_order + 1):
-        before = np.zeros_like(h)
-        before[k:] = h[: max(len(h) - k, 0)]
-        grams.append(mixed(mixed(grams[-1] + np.uint64(k)) + before))
-    return owner, place, grams
-
-
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for the first ``SEEN_BITS`` bits of each ``key``: 8 MB at any size. It only spares
-    rows that a join would drop; when it fills up, fewer are spared."""
-    first = F.shiftrightunsigned("key", 64 - SEEN_BITS)
-    word = keys.select(F.shiftright(first, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), first.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    got = word.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (SEEN_BITS - 6) rows at most
-    out = np.zeros(1 << SEEN_BITS - 6, np.int64)
-    out[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def seen(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    first = keys >> np.uint64(64 - SEEN_BITS)
-    return (bits[(first >> np.uint64(6)).astype(np.int64)] >> (first & np.uint64(63))) & np.uint64(1) > 0
-
-
-def gram_counts(texts: DataFrame, order: int, below: DataFrame | None) -> DataFrame:
-    """``(key, context, suffix, n)`` of the sequences of a context of ``order`` words and the next,
-    of those found twice or more; ``below`` are those one word shorter, since both parts of such a
-    sequence are found twice too."""
-    names = ["key", "context", "suffix", "n"]
-    shared = None if below is None else texts.sparkSession.sparkContext.broadcast(bitmap(below.select("key")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            key, context, suffix = (np.concatenate(c) for c in zip(*held, strict=True))
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, context[at], suffix[at], n)], names)
-
-        for _, part in _batches(batches, "text"):
-            _, place, grams = gram_keys(part, order)
-            at = np.flatnonzero(place >= order)
-            if shared is not None:
-                at = at[seen(shared.value, grams[order - 1][at - 1]) & seen(shared.value, grams[order - 1][at])]
-            held.append([grams[order][at], grams[order - 1][at - 1], grams[order - 1][at]])
-            if sum(len(x[0]) for x in held) > 2_000_000:
-                yield rows()
-                held.clear()
-        if sum(len(x[0]) for x in held):
-            yield rows()
-
-    counted = texts.mapInArrow(run, "key long, context long, suffix long, n long").groupBy("key")
-    return counted.agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")).where("n > 1")
-
-
-def whole_tree(texts: DataFrame, vocabulary: DataFrame, lexicon: Lexicon, max_order: int) -> DataFrame | None:
-    """``(level, key, add)``: what a state's context and each of its explicit next symbols add to a
-    token's log10 probability at the root. A sequence that is found twice has a suffix that is, so
-    each level adds its own part: leaving a state, or what an explicit symbol gains over the level below."""
-    n_all = max(lexicon.total, 1)
-    occurs = vocabulary.select(F.xxhash64("word").alias("context"), F.col("c").alias("occurs"))
-    below = vocabulary.select(F.xxhash64("word").alias("suffix"), F.log10((F.col("c") - F.lit(lexicon.discount)) / F.lit(float(n_all))).alias("lq"))
-    out = grams = None
-    for order in range(1, max_order + 1):
-        grams = materialise(gram_counts(texts, order, grams), "lm-grams")
-        p = (F.col("n") - 0.5) / F.col("occurs")
-        entries = grams.join(occurs, "context").join(below, "suffix").withColumn("p", p)
-        entries = materialise(entries, "lm-entries")
-        q = F.pow(F.lit(10.0), F.col("lq"))
-        sums = entries.groupBy("context").agg(
-            F.first("occurs").alias("whole"), F.count("*").alias("k"), (1 - F.sum("p")).alias("rest"), (1 - F.sum(q)).alias("free"),
-            F.sum(F.col("p") * F.log(F.col("p") / q)).alias("inner"),
-        ).where("rest > 1e-9 and free > 1e-9")
-        gain = F.col("whole") * (F.col("inner") + F.col("rest") * F.log(F.col("rest") / F.col("free")))
-        states = sums.where(gain > F.col("k") + F.lit(float(np.log(n_all)))).select("context", F.log10(F.col("rest") / F.col("free")).alias("back"))
-        states = materialise(states, "lm-states")
-        told = entries.join(states, "context", "left").withColumn("lp", F.when(F.col("back").isNull(), F.col("lq")).otherwise(F.log10("p")))
-        told = materialise(told, "lm-levels")
-        added = told.where("back is not null").select(F.lit(0).alias("level"), "key", (F.col("lp") - F.col("lq") - F.col("back")).alias("add"))
-        # Level 0 are entries, the others the states of contexts of so many words.
-        left = states.select(F.lit(order).alias("level"), F.col("context").alias("key"), F.col("back").alias("add"))
-        out = added.unionByName(left) if out is None else out.unionByName(added).unionByName(left)
-        occurs = grams.select(F.col("key").alias("context"), F.col("n").alias("occurs"))
-        below = told.select(F.col("key").alias("suffix"), F.col("lp").alias("lq"))
-    return out
-
-
-def whole_parts(texts: DataFrame, tree: DataFrame, max_order: int) -> DataFrame:
-    """``(row, more)``: what the states add to the score of each text ``(row, text)``."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(tree.select("key")))
-    names = ["row", "level", "key", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in _batches(batches, "text"):
-            row = batch.column("row").to_numpy()
-            owner, place, grams = gram_keys(part, max_order)
-            for order in range(1, max_order + 1):
-                at = np.flatnonzero(place >= order)
-                at = at[seen(shared.value, grams[order - 1][at - 1])]
-                for level, key in ((order, grams[order - 1][at - 1]), (0, grams[order][at])):
-                    own = owner[at]
-                    if not level:
-                        hit = seen(shared.value, key)
-                        own, key = own[hit], key[hit]
-                    by = np.lexsort((key, own))
-                    own, key = own[by], key[by]
-                    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])[: len(key)])
-                    n = np.diff(np.append(new, len(key)))
-                    arrays = [row[own[new]], np.full(len(new), level, np.int32), key[new].view(np.int64), n]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
-
-    asked = texts.mapInArrow(run, "row long, level int, key long, n long")
-    return asked.join(tree.hint("merge"), ["level", "key"]).groupBy("row").agg(F.sum(F.col("n") * F.col("add")).alias("more"))
-
-
-def whole_score(docs: DataFrame, held_out: Column, max_order: int = 3) -> DataFrame:
-    """``score`` with every context and next symbol that occurs twice or more, whatever its share."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_column(docs).alias("text"))
-    texts = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-    binary = texts.select("row", "held", F.col("text").cast("binary").alias("text"))
-    tree, vocabulary = train(binary.where("not held").select("text"), max_order=0)
-    rooted = score(texts.select(F.col("row").alias("doc_id"), "held", "text"), F.col("held"), (tree, vocabulary))
-    rooted = rooted.withColumnRenamed("doc_id", "row")
-    added = materialise(whole_tree(binary.where("not held").select("text"), vocabulary, tree.lexicon, max_order), "lm-tree")
-    more = whole_parts(binary.select("row", "text"), added, max_order)
-    return texts.select("row", "doc_id").join(rooted, "row").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
-    )
