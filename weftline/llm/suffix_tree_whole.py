@@ -145,25 +145,31 @@ def word_codes(texts: DataFrame, lexicon: Lexicon, chunk_tokens: int) -> DataFra
 BLOCKS = "chunk long, kind long, block binary"
 
 
-def with_counts(stream: DataFrame, vocabulary: DataFrame, size: int, parts: int) -> DataFrame:
-    """The blocks with global codes and training counts ``(code, c)`` of their rare words."""
-    asked = stream.where("at >= 0").select("chunk", "at", "word").hint("merge").join(vocabulary, "word").select("chunk", "at", "code", "c")
+def in_blocks(rows: DataFrame, kind: int, *names: str) -> DataFrame:
+    """Columns of the rows as a block for each chunk and million rows of a partition."""
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            found = pa.Table.from_batches(held).sort_by([("chunk", "ascending"), ("at", "ascending")])
+        def blocks() -> Iterator[pa.RecordBatch]:
+            found = pa.Table.from_batches(held).sort_by([("chunk", "ascending"), (names[0], "ascending")])
             for chunk, part in runs(found.to_batches(), "chunk"):
-                yield rows_of(BLOCKS, [chunk], [1], [packed(*(part[x].to_numpy() for x in ("at", "code", "c")))])
+                yield rows_of(BLOCKS, [chunk], [kind], [packed(*(part[x].to_numpy() for x in names))])
 
         for batch in batches:
             held.append(batch)
             if sum(x.num_rows for x in held) > 1_000_000:
-                yield from rows()
+                yield from blocks()
                 held.clear()
         if sum(x.num_rows for x in held):
-            yield from rows()
+            yield from blocks()
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def with_counts(stream: DataFrame, vocabulary: DataFrame, size: int, parts: int) -> DataFrame:
+    """The blocks with global codes and training counts ``(code, c)`` of their rare words."""
+    asked = stream.where("at >= 0").select("chunk", "at", "word").hint("merge").join(vocabulary, "word").select("chunk", "at", "code", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, found in runs(batches, "chunk"):
@@ -175,7 +181,7 @@ def with_counts(stream: DataFrame, vocabulary: DataFrame, size: int, parts: int)
             yield rows_of(BLOCKS, [chunk], [0], [packed(*block, *rare)])
 
     heads = stream.where("at < 0").select("chunk", F.lit(0).cast("long").alias("kind"), "block")
-    return heads.unionByName(asked.mapInArrow(told, BLOCKS)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, BLOCKS)
+    return heads.unionByName(in_blocks(asked, 1, "at", "code", "c")).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, BLOCKS)
 
 
 def word_hashes(codes: np.ndarray) -> np.ndarray:
@@ -187,7 +193,7 @@ class Positions:
     words before each, ``place`` of them at most; 0: none, or one found less than twice."""
 
     def __init__(self, block: bytes, counts: np.ndarray, kind: type, max_order: int):
-        _, _, held, lengths, codes, rare, rare_c = unpacked(block)
+        _, _, held, lengths, codes, rare, rare_c, *self.told = unpacked(block)
         lengths = lengths.astype(np.int64) + 1  # each text with an end symbol before it
         first = np.cumsum(lengths) - lengths
         whole = np.ones(int(lengths.sum()), np.uint32)  # END has code 1
@@ -223,15 +229,20 @@ class Positions:
             out.append(out[-1] & (self.place >= k) & found_at(table, self.contexts[k])[0])
         return out
 
+    def asked(self, follows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """The tokens whose counts after hot contexts are asked for, and those alike."""
+        at = np.flatnonzero(follows & (self.words[0] > 0))
+        return at, *np.unique(self.keys[k][at], return_index=True, return_inverse=True)
+
 
-ASKED = "chunk long, context long, key long, suffix long, n long, c long"
+ASKED = "chunk long, at long, context long, key long, suffix long, n long, c long"
 
 
 def hot_counts(
     chunks: DataFrame, shared, lexicon: Lexicon, max_order: int, least: int
 ) -> tuple[list[np.ndarray], list[dict[str, np.ndarray]], DataFrame | None]:
     """By length the hot contexts and their states (``occurs``, ``back``: NaN if none); the counts
-    that each chunk needs as ``(chunk, level, key, n)``."""
+    that each chunk asked for, as blocks of ``(at, n)`` with the length as kind."""
     spark = chunks.sparkSession
     counts, _ = shared.value
     hot, states, answers = [np.zeros(0, np.uint64)], [{}], None
@@ -248,12 +259,11 @@ def hot_counts(
             for batch in batches:
                 for chunk, block in zip(batch.column("chunk").to_pylist(), batch.column("block"), strict=True):
                     p = Positions(block.as_py(), *shared.value, max_order)
-                    at = np.flatnonzero(p.hot(tables.value)[k] & (p.words[0] > 0))
-                    key, one, back = np.unique(p.keys[k][at], return_index=True, return_inverse=True)
+                    at, key, one, back = p.asked(p.hot(tables.value)[k], k)
                     n = np.bincount(back, p.trained[at], len(key)).astype(np.int64)
                     at = at[one]
                     ids = [x.view(np.int64) for x in (p.contexts[k][at], key, p.keys[k - 1][at])]
-                    yield rows_of(ASKED, np.full(len(key), chunk), *ids, n, p.count[at])
+                    yield rows_of(ASKED, np.full(len(key), chunk), np.arange(len(key)), *ids, n, p.count[at])
 
         asked = materialise(chunks.mapInArrow(run, ASKED), "lm-asked")
         first = [F.first(x).alias(x) for x in ("context", "suffix", "c")]
@@ -279,38 +289,51 @@ def hot_counts(
         is_state = spark.createDataFrame(list(backs.items()), "context long, back double")
         told = entries.join(F.broadcast(is_state), "context", "left")
         below = told.select(F.col("key").alias("suffix"), F.when(F.col("back").isNull(), F.col("lq")).otherwise(F.log10("p")).alias("lq"))
-        got = asked.select("chunk", "key").hint("merge").join(found.select("key", "n"), "key").select("chunk", F.lit(k).cast("long").alias("level"), "key", "n")
+        got = asked.select("chunk", "at", "key").hint("merge").join(found.select("key", "n"), "key").select("chunk", "at", "n")
+        got = materialise(in_blocks(got, k, "at", "n"), "lm-told")
+        discard(asked)
         answers = got if answers is None else answers.unionByName(got)
         # A hot context of one word more begins with a hot context, so it is among these.
         occurs = {r["key"] % (1 << 64): r["n"] for r in found.where(F.col("n") >= least).select("key", "n").collect()}
     return hot, states, answers
 
 
+def with_answers(chunks: DataFrame, answers: DataFrame, lengths: int, parts: int) -> DataFrame:
+    """The blocks with ``(at, n)`` of what follows hot contexts, by length of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, found in runs(batches, "chunk"):
+            kinds, blocks = found["kind"].to_numpy(), [unpacked(x.as_py()) for x in found["block"]]
+            told = []
+            for k in range(1, lengths + 1):
+                mine = [blocks[i] for i in np.flatnonzero(kinds == k)]
+                at, n = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in mine)]) for i in (0, 1))
+                order = np.argsort(at)
+                told += [at[order], n[order]]
+            yield rows_of(BLOCKS, [chunk], [0], [packed(*blocks[0], *told)])
+
+    return chunks.unionByName(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, BLOCKS)
+
+
 DEALT = "bucket long, chunk long, block binary"
 
 
-def dealt(chunks: DataFrame, answers: DataFrame | None, hot: list[np.ndarray], shared, max_order: int, buckets: int) -> DataFrame:
+def dealt(chunks: DataFrame, hot: list[np.ndarray], shared, max_order: int, buckets: int) -> DataFrame:
     """The positions of each chunk, by bucket: codes, texts and training counts of alike ones."""
     tables = chunks.sparkSession.sparkContext.broadcast(hot)
-    none = F.lit(0).cast("long")
-    rows = chunks.select("chunk", none.alias("level"), none.alias("key"), none.alias("n"), "block")
-    if answers is not None:
-        rows = rows.unionByName(answers.withColumn("block", F.lit(None).cast("binary"))).repartition(buckets, "chunk").sortWithinPartitions("chunk", "level")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(shared.value[0])
         for chunk, found in runs(batches, "chunk"):
             p = Positions(found["block"][0].as_py(), *shared.value, max_order)
-            level, key, n = (found[x].to_numpy() for x in ("level", "key", "n"))
             follows = p.hot(tables.value)
             route, told = p.contexts[1].copy(), []
             for k in range(1, len(tables.value)):
-                at = np.flatnonzero(level == k)
-                at = at[np.argsort(key.view(np.uint64)[at])]
-                hit, where = found_at(key.view(np.uint64)[at], p.keys[k])
-                hit &= follows[k]
+                at, keys, _, alike = p.asked(follows[k], k)
+                n = np.zeros(len(keys), np.int64)
+                n[p.told[2 * k - 2]] = p.told[2 * k - 1]
                 known = np.zeros(len(route), np.int64)
-                known[hit] = n[at[where[hit]]]
+                known[at] = n[alike]
                 told.append(known)
                 route = np.where(follows[k], np.where(p.place > k, p.contexts[k + 1], p.keys[k]), route)
             whole = np.choose(p.place - 1, p.keys[1:])
@@ -335,7 +358,7 @@ def dealt(chunks: DataFrame, answers: DataFrame | None, hot: list[np.ndarray], s
                 )
                 yield rows_of(DEALT, [bucket[start]], [chunk], [block])
 
-    return rows.mapInArrow(run, DEALT)
+    return chunks.mapInArrow(run, DEALT)
 
 
 def gains(
@@ -439,7 +462,7 @@ def whole_score(docs: DataFrame, held_out: Column, max_order: int = 3, bucket: i
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, block in zip(batch.column("chunk").to_pylist(), batch.column("block"), strict=True):
-                ids, null, held, lengths, codes, _, rare_c = unpacked(block.as_py())
+                ids, null, held, lengths, codes, _, rare_c, *_ = unpacked(block.as_py())
                 count = np.concatenate([shared.value[0], rare_c])[codes]
                 first = np.cumsum(lengths, dtype=np.int64) - lengths
                 sums = (np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), np.log10((count + 0.5) / scale), np.log10(root(count))))
@@ -455,10 +478,18 @@ def whole_score(docs: DataFrame, held_out: Column, max_order: int = 3, bucket: i
                 log[at] += more
             yield rows_of(SCORES, pa.array(ids, mask=null > 0), held > 0, lengths.astype(np.int64), known, np.full(len(ids), n_all), base, log)
 
-    rows = chunks.mapInArrow(rooted, BLOCKS)
-    if lexicon.total and max_order:
+    collect = docs.sparkSession._jvm.System.gc  # Spark then removes the shuffle files of written tables
+    collect()
+    if not lexicon.total or not max_order:
+        rows = chunks.mapInArrow(rooted, BLOCKS)
+    else:
         hot, states, answers = hot_counts(chunks, shared, lexicon, max_order, max(bucket // 4, 2))
-        blocks = dealt(chunks, answers, hot, shared, max_order, buckets)
-        rows = rows.unionByName(bucket_sums(blocks, hot, states, shared, (lexicon.total, lexicon.discount), max_order, buckets))
-    docs.sparkSession._jvm.System.gc()  # Spark then removes the shuffle files of tables that are written
+        if answers is not None:
+            known = materialise(with_answers(chunks, answers, len(hot) - 1, buckets), "lm-known")
+            discard(chunks)
+            chunks = known
+            collect()
+        blocks = dealt(chunks, hot, shared, max_order, buckets)
+        added = bucket_sums(blocks, hot, states, shared, (lexicon.total, lexicon.discount), max_order, buckets)
+        rows = chunks.mapInArrow(rooted, BLOCKS).unionByName(added)
     return rows.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, SCORES)
