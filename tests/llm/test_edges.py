@@ -294,6 +294,20 @@ def test_the_whole_tree_in_many_buckets_with_hot_contexts(spark):
     assert suffix_tree_whole.whole_score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_arcs_out_of_a_state_are_those_of_finite_weight():
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        machine = piece_transducer.Transducer(piece_transducer.PieceModel(f.read()))
+    text, most = "▁thermodynamics日é", max(map(len, machine.ids))
+    for state in (piece_transducer.START, "▁the", "m", "日"):
+        zeros = {}
+        for at in range(len(text)):
+            pieces = [text[at:end] for end in range(at + 1, min(len(text), at + most) + 1) if text[at:end] in machine.ids or end == at + 1]
+            finite = [x for x in pieces if not machine.zero(state, x)]
+            got = machine.arcs(text, at, state, zeros)
+            assert [(end, x) for end, x, _ in got] == [(at + len(x), x) for x in finite]
+            assert all(cost == (-machine.score[x] if x in machine.ids else machine.unknown_cost) for _, x, cost in got)
+
+
 def test_the_whole_tree_is_within_four_times_the_input(spark, tmp_path):
     """What op 8 shuffles and the tables that it leaves, together."""
 

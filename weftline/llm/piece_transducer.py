@@ -36,6 +36,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,11 @@ def trie_of(entries: dict[str, object]) -> dict:
     return root
 
 
+def arcs_of(trie: dict) -> dict[str, tuple[dict | None, object]]:
+    """The same trie by character as what lies below (None: nothing) and what the key stands for."""
+    return {c: (arcs_of(node) or None, node.get("")) for c, node in trie.items() if c}
+
+
 def longest(trie: dict, text: str, at: int) -> tuple[int, object]:
     """Where the longest key at a place ends and what it stands for; (at, None) without one."""
     node, found = trie, (at, None)
@@ -181,7 +187,7 @@ class Transducer:
         self.unknown_cost = 10.0 - min(normal, default=0.0)
         if not self.merging:
             self.score |= {p: len(p) * max(normal, default=0.0) - 0.1 for p in self.own}
-        self.trie = trie_of({p: (p, -self.score[p]) for p in self.ids})
+        self.trie = arcs_of(trie_of({p: (p, -self.score[p]) for p in self.ids}))
         self.own_trie = trie_of({p: p for p in self.own})
         self.map = character_map(model.map)
         self.map_trie = trie_of(self.map)
@@ -245,18 +251,29 @@ class Transducer:
             self.known.clear()
         return self.known.setdefault(state, {})
 
-    def arcs(self, text: str, at: int) -> list[tuple[int, str, float]]:
-        """What the composition can read at a place: where it ends, the piece, minus its score."""
-        node, end, n = self.trie.get(text[at]), at + 1, len(text)
-        out = [(end, text[at], self.unknown_cost)] if node is None or "" not in node else []
-        while node is not None:
-            held = node.get("")
+    def arcs(self, text: str, at: int, state: str, zeros: dict[str, bool]) -> list[tuple[int, str, float]]:
+        """What the composition can read at a place out of a state: where it ends, the piece, minus
+        its score. Arcs of weight infinity are left out."""
+        found, end, n, out = self.trie.get(text[at]), at, len(text), []
+        if found is None or found[1] is None:
+            zero = zeros.get(text[at])
+            if zero is None:
+                zero = zeros[text[at]] = self.zero(state, text[at])
+            if not zero:
+                out.append((end + 1, text[at], self.unknown_cost))
+        while found is not None:
+            end += 1
+            below, held = found
             if held is not None:
-                out.append((end, *held))
-            if end == n:
+                piece, cost = held
+                zero = zeros.get(piece)
+                if zero is None:
+                    zero = zeros[piece] = self.zero(state, piece)
+                if not zero:
+                    out.append((end, piece, cost))
+            if below is None or end == n:
                 break
-            node = node.get(text[end])
-            end += 1
+            found = below.get(text[end])
         return out
 
     def shortest_path(self, text: str) -> tuple[list[str], float]:
@@ -269,17 +286,11 @@ class Transducer:
             here = reached[at]
             if here is None:
                 continue
-            arcs = self.arcs(text, at)
             for state, back in here.items():
                 total, zeros = back[0], known.get(state)
                 if zeros is None:
                     zeros = self.zeros(state)
-                for end, piece, cost in arcs:
-                    zero = zeros.get(piece)
-                    if zero is None:
-                        zero = zeros[piece] = self.zero(state, piece)
-                    if zero:
-                        continue
+                for end, piece, cost in self.arcs(text, at, state, zeros):
                     there, to, new = reached[end], piece if merging else START, total + cost
                     if there is None:
                         reached[end] = {to: (new, at, state, piece)}
@@ -309,6 +320,8 @@ class Transducer:
 
     def joined(self, text: str) -> list[str]:
         pairs, out, start = self.pairs, [], 0
+        if text and pairs.issuperset(map(add, text, text[1:])):
+            return [text]
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in pairs:
                 out.append(text[start:i])
@@ -360,6 +373,8 @@ class Encoder:
         plain = not any(p[1] == SPACE != p[0] for p in pairs) and not any("\n" in p for p in pairs)
         self.simple = plain and not model.squeeze and not self.machine.map and not self.machine.own
         self.byte_ids = set(self.machine.bytes.values())
+        #: What a piece decodes to by itself, where no piece beside it matters.
+        self.spelling = [p if k in (NORMAL, OWN) else None for p, k in zip(model.pieces, model.kinds, strict=True)]
         #: A single unknown id stands for unspelt neighbours, so words must not be taken apart.
         self.fused = not model.byte_fallback
 
@@ -374,13 +389,20 @@ class Encoder:
     def word(self, word: str) -> tuple[bytes, int, float, bool]:
         """Ids, byte pieces, weight and whether the ids decode to the word again."""
         ids, cost = self.encoded(word)
-        return array("I", ids).tobytes(), self.unspelt(ids), cost, self.machine.decoded(ids) == word
+        spelt = [self.spelling[i] for i in ids]
+        whole = None in spelt
+        text = self.machine.decoded(ids) if whole else "".join(spelt)
+        return array("I", ids).tobytes(), self.unspelt(ids) if whole else 0, cost, text == word
 
     def unspelt(self, ids: list[int]) -> int:
         return sum(i in self.byte_ids for i in ids)
 
     def encoded(self, normal: str) -> tuple[list[int], float]:
-        found = [self.paths[x] for x in self.machine.parts(normal)]
+        parts = self.machine.parts(normal)
+        if len(parts) == 1 and not self.fused:
+            raw, cost = self.paths[parts[0]]
+            return array("I", raw).tolist(), cost
+        found = [self.paths[x] for x in parts]
         ids = array("I", b"".join([f[0] for f in found])).tolist()
         if self.fused:
             unknown = self.machine.unknown
