@@ -13,9 +13,11 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
+from tokenizers import Tokenizer
 
 from weftline.llm import itq_dedup, license_scan, packing, piece_transducer, queries, simhash_dedup, simhash_similar, suffix_tree_lm, suffix_tree_whole, token_files, toxicity, warc_zstd
 from weftline.llm.common import components, shared_dir, vocabulary
+from weftline.llm.token_cache import CachedTokenizer
 
 BIG = 9007199254740993  # not a double
 
@@ -294,6 +296,21 @@ def test_the_whole_tree_in_many_buckets_with_hot_contexts(spark):
     assert suffix_tree_whole.whole_score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_words_that_the_cache_lacks_are_encoded_together():
+    """One call for a slice's unknown words; what is held, how it is bounded and the ids stay the same."""
+    tokens = CachedTokenizer(vocabulary("byte_bpe_50k.json"), entries=40)
+    whole, asked, made = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), [], tokens.make_all
+    tokens.make_all = lambda parts: asked.append(parts) or made(parts)
+    pick = random.Random(37)
+    words = ["".join(pick.choice("etaoinshr") for _ in range(pick.randint(1, 9))) for _ in range(300)] + ["é", "日本", "x" * 70, "12", "don't", ""]
+    for _ in range(6):
+        text = " ".join(pick.choices(words, k=25))
+        assert [x.tolist() for x in tokens.encode_all(pa.array([text, text]))] == [whole.encode(text).ids] * 2
+        assert len(tokens.parts) <= 40 and not any(len(x) > 64 for x in tokens.parts)
+    assert len(asked) == 6 and all(len(set(x)) == len(x) > 1 for x in asked)
+    assert tokens.parts.older
+
+
 def test_arcs_out_of_a_state_are_those_of_finite_weight():
     with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
         machine = piece_transducer.Transducer(piece_transducer.PieceModel(f.read()))

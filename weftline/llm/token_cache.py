@@ -94,6 +94,23 @@ class Kept(dict):
             self[key] = found
         return found
 
+    def many(self, keys: list[str], make: Callable) -> list:
+        """The values of different keys; ``make`` gives those of all that are not held at once."""
+        found = list(map(self.get, keys))
+        held = [i for i, x in enumerate(found) if x is None]
+        if not held:
+            return found
+        older = list(map(self.older.get, [keys[i] for i in held]))
+        made = iter(make([keys[i] for i, x in zip(held, older, strict=True) if x is None]))
+        for i, x in zip(held, older, strict=True):
+            found[i] = next(made) if x is None else x
+        new = {keys[i]: found[i] for i in held if len(keys[i]) <= 64}
+        if self and len(self) + len(new) > self.half:
+            self.older = dict(self)
+            self.clear()
+        self.update(new)
+        return found
+
 
 class CachedTokenizer:
     """``encode_all(texts)`` gives the ids of each text as arrays of ``dtype``."""
@@ -133,6 +150,17 @@ class CachedTokenizer:
                 return self.whole(part)
         return self.merged((" " * space + word).encode().decode("latin-1").translate(self.letters))
 
+    def make_all(self, parts: list[str]) -> list[bytes]:
+        if self.lower:
+            return [self.make(x) for x in parts]
+        tokenize, code, out = self.model.tokenize, self.code, []
+        for x in parts:
+            if x.isascii() and (x.isalpha() or x[:1] == " " and x[1:].isalpha()):
+                out.append(array(code, [t.id for t in tokenize(x.replace(" ", "\u0120"))]).tobytes())  # as in ``make``
+            else:
+                out.append(self.make(x))
+        return out
+
     def careful(self, text: str) -> np.ndarray:
         """One text, cut only where a space follows a non-space."""
         if any(x in text for x in self.special):
@@ -161,7 +189,7 @@ class CachedTokenizer:
             apart = apart.to_numpy(zero_copy_only=False)
             lists = self.cut(part.filter(pa.array(~apart)) if apart.any() else part)
             coded = lists.flatten().dictionary_encode()
-            found = [self.parts[x] for x in strings(coded.dictionary, " " if self.lower else SEP)]
+            found = self.parts.many(strings(coded.dictionary, " " if self.lower else SEP), self.make_all)
             ids, ends = gathered(found, self.dtype, coded.indices.to_numpy())
             edges = lists.offsets.to_numpy()
             upto = np.concatenate([[0], ends])[edges - edges[0]].tolist()
