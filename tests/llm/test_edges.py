@@ -325,6 +325,17 @@ def test_arcs_out_of_a_state_are_those_of_finite_weight():
             assert all(cost == (-machine.score[x] if x in machine.ids else machine.unknown_cost) for _, x, cost in got)
 
 
+def test_the_order_of_hashes_is_stable_also_where_high_bits_are_alike():
+    pick = np.random.default_rng(5)
+    for keys in (pick.integers(0, 1 << 63, 3000).astype(np.uint64), pick.integers(0, 50, 3000).astype(np.uint64), np.repeat(np.uint64(1 << 63), 5), np.zeros(0, np.uint64)):
+        found, one, back = suffix_tree_whole.different(keys)
+        expected = np.unique(keys, return_index=True, return_inverse=True)
+        assert all((x == y).all() for x, y in zip((found, one, back), expected, strict=True))
+        table, asked = found[::2], np.sort(keys)
+        hit, at = suffix_tree_whole.found_at(table, asked)
+        assert (hit == np.isin(asked, table)).all() and (table[at[hit]] == asked[hit]).all()
+
+
 def test_the_whole_tree_is_within_four_times_the_input(spark, tmp_path):
     """What op 8 shuffles and the tables that it leaves, together."""
 

@@ -76,16 +76,53 @@ def rows_of(schema: str, *columns) -> pa.RecordBatch:
 
 
 def found_at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is in the sorted ``table``, and where."""
-    if not len(table):
+    """Whether each key is in the sorted ``table``, and where; of equal neighbours one is looked up."""
+    if not len(table) or not len(keys):
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    heads = keys if 2 * len(start) > len(keys) else keys[start]
+    order = in_order(heads)  # neighbours are found near each other
+    at = np.empty(len(heads), np.int64)
+    at[order] = np.minimum(np.searchsorted(table, heads[order]), len(table) - 1)
+    hit = table[at] == heads
+    if heads is keys:
+        return hit, at
+    n = np.diff(np.append(start, len(keys)))
+    return np.repeat(hit, n), np.repeat(at, n)
+
+
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of hashes. Their high bits with the place below are sorted, which is faster
+    than a stable sort; where these bits do not tell two hashes apart, that is done."""
+    low = np.uint64((1 << max(len(keys) - 1, 1).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    found = keys[order]
+    return np.argsort(keys, kind="stable") if (found[1:] < found[:-1]).any() else order
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of hashes and where in it each different one begins."""
+    order = in_order(keys)
+    found = keys[order]
+    return order, np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(keys)])
+
+
+def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, the first place of each, and the place of each key among them."""
+    order, start = grouped(keys)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
+    one = order[start]
+    return keys[one], one, back
 
 
 def longer(sequence: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of sequences with one more word behind."""
-    return mixed(sequence * np.uint64(0x9E3779B97F4A7C15) + word)
+    """Hashes of sequences with one more word behind, by pieces that stay in a core's cache."""
+    out = np.empty_like(sequence)
+    for start in range(0, len(out), 1 << 14):
+        piece = slice(start, start + (1 << 14))
+        out[piece] = mixed(sequence[piece] * np.uint64(0x9E3779B97F4A7C15) + word[piece])
+    return out
 
 
 def often(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -98,14 +135,31 @@ def often(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 STREAM = "chunk long, at long, word binary, block binary"
 
 
+class Codes(dict):
+    """Codes of frequent words, and of the rare words met since the last ``forget``."""
+
+    def __init__(self, ids: dict[bytes, int], size: int):
+        super().__init__(ids)
+        self.size, self.rare = size, []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.size + len(self.rare)
+        self.rare.append(word)
+        return code
+
+    def forget(self) -> None:
+        for word in self.rare:
+            del self[word]
+        self.rare.clear()
+
+
 def word_codes(texts: DataFrame, lexicon: Lexicon, chunk_tokens: int) -> DataFrame:
     """A block for each chunk of texts, and its rare words: code ``len(counts) + at`` in the block."""
     shared = texts.sparkSession.sparkContext.broadcast(lexicon.ids)  # bounded by the share of a common word
     size = len(lexicon.counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, chunk = shared.value.get, TaskContext.get().partitionId() << 32
-        rare: dict[bytes, int] = {}
+        known, chunk = Codes(shared.value, size), TaskContext.get().partitionId() << 32
         docs, held, lengths, codes = [], [], [], []
         tokens = 0
 
@@ -113,7 +167,7 @@ def word_codes(texts: DataFrame, lexicon: Lexicon, chunk_tokens: int) -> DataFra
             null = np.array([d is None for d in docs], np.uint8)
             block = packed(np.array([d or 0 for d in docs], np.int64), null, np.array(held, np.uint8), np.array(lengths, np.uint32), np.concatenate(codes))
             yield rows_of(STREAM, [chunk], [-1], [None], [block])
-            words = list(rare)
+            words = known.rare
             for start in range(0, len(words), 100_000):
                 part = words[start : start + 100_000]
                 yield rows_of(STREAM, np.full(len(part), chunk), np.arange(start, start + len(part)), part, [None] * len(part))
@@ -123,18 +177,17 @@ def word_codes(texts: DataFrame, lexicon: Lexicon, chunk_tokens: int) -> DataFra
                 part = batch.slice(start, 256).to_pydict()
                 for doc, out, text in zip(part["doc_id"], part["held"], part["text"], strict=True):
                     words = text_tokens(text)
-                    ids = [get(w, 0) for w in words]
-                    if 0 in ids:
-                        ids = [i or rare.setdefault(w, size + len(rare)) for i, w in zip(ids, words, strict=True)]
+                    ids = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
                     docs.append(doc)
                     held.append(out)
                     lengths.append(len(ids))
-                    codes.append(np.array(ids, np.uint32))
+                    codes.append(ids)
                     tokens += len(ids)
                     if tokens >= chunk_tokens or len(docs) == 1 << 16:
                         yield from rows()
                         chunk, tokens = chunk + 1, 0
-                        for x in (rare, docs, held, lengths, codes):
+                        known.forget()
+                        for x in (docs, held, lengths, codes):
                             x.clear()
         if docs:
             yield from rows()
@@ -169,7 +222,7 @@ def in_blocks(rows: DataFrame, kind: int, *names: str) -> DataFrame:
 
 def with_counts(stream: DataFrame, vocabulary: DataFrame, size: int, parts: int) -> DataFrame:
     """The blocks with global codes and training counts ``(code, c)`` of their rare words."""
-    asked = stream.where("at >= 0").select("chunk", "at", "word").hint("merge").join(vocabulary, "word").select("chunk", "at", "code", "c")
+    asked = stream.where("at >= 0").select("chunk", "at", "word").join(vocabulary.hint("shuffle_hash"), "word").select("chunk", "at", "code", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, found in runs(batches, "chunk"):
@@ -185,7 +238,11 @@ def with_counts(stream: DataFrame, vocabulary: DataFrame, size: int, parts: int)
 
 
 def word_hashes(codes: np.ndarray) -> np.ndarray:
-    return mixed(codes.astype(np.uint64) + np.uint64(1))
+    out = np.empty(len(codes), np.uint64)
+    for start in range(0, len(out), 1 << 14):
+        piece = slice(start, start + (1 << 14))
+        out[piece] = mixed(codes[piece].astype(np.uint64) + np.uint64(1))
+    return out
 
 
 class Positions:
@@ -203,7 +260,7 @@ class Positions:
         count = np.concatenate([counts, rare_c])
         count = count[whole]
         whole = np.where(count < 2, 0, np.concatenate([np.arange(len(counts)), rare])[whole]).astype(kind)
-        place = np.zeros(len(whole), np.int64)
+        place = np.zeros(len(whole), np.int8)
         for k in range(max_order):
             place[1:][(place[:-1] >= k) & (whole[:-1] > 0) & inner[1:]] = k + 1  # one more than the token before
         at = np.flatnonzero(place > 0)
@@ -232,7 +289,7 @@ class Positions:
     def asked(self, follows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         """The tokens whose counts after hot contexts are asked for, and those alike."""
         at = np.flatnonzero(follows & (self.words[0] > 0))
-        return at, *np.unique(self.keys[k][at], return_index=True, return_inverse=True)
+        return at, *different(self.keys[k][at])
 
 
 ASKED = "chunk long, at long, context long, key long, suffix long, n long, c long"
@@ -258,7 +315,7 @@ def hot_counts(
         def run(batches: Iterator[pa.RecordBatch], k=k, tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, block in zip(batch.column("chunk").to_pylist(), batch.column("block"), strict=True):
-                    p = Positions(block.as_py(), *shared.value, max_order)
+                    p = Positions(block.as_py(), *shared.value, k)
                     at, key, one, back = p.asked(p.hot(tables.value)[k], k)
                     n = np.bincount(back, p.trained[at], len(key)).astype(np.int64)
                     at = at[one]
@@ -289,7 +346,7 @@ def hot_counts(
         is_state = spark.createDataFrame(list(backs.items()), "context long, back double")
         told = entries.join(F.broadcast(is_state), "context", "left")
         below = told.select(F.col("key").alias("suffix"), F.when(F.col("back").isNull(), F.col("lq")).otherwise(F.log10("p")).alias("lq"))
-        got = asked.select("chunk", "at", "key").hint("merge").join(found.select("key", "n"), "key").select("chunk", "at", "n")
+        got = asked.select("chunk", "at", "key").join(found.select("key", "n").hint("shuffle_hash"), "key").select("chunk", "at", "n")
         got = materialise(in_blocks(got, k, "at", "n"), "lm-told")
         discard(asked)
         answers = got if answers is None else answers.unionByName(got)
@@ -337,15 +394,18 @@ def dealt(chunks: DataFrame, hot: list[np.ndarray], shared, max_order: int, buck
                 told.append(known)
                 route = np.where(follows[k], np.where(p.place > k, p.contexts[k + 1], p.keys[k]), route)
             whole = np.choose(p.place - 1, p.keys[1:])
-            bucket = (route >> np.uint64(20)) % np.uint64(buckets)
+            order, start = grouped(whole)
+            one = order[start]
+            bucket = (route[one] >> np.uint64(20)) % np.uint64(buckets)
             # Near words side by side, which only makes blocks smaller.
-            near = (bucket << np.uint64(42)) + (np.minimum(p.words[1], (1 << 21) - 1).astype(np.uint64) << np.uint64(21))
-            near += np.minimum(p.words[min(2, max_order)], (1 << 21) - 1)
-            order = np.lexsort((whole, near))
-            start = np.flatnonzero(np.append(True, whole[order[1:]] != whole[order[:-1]])[: len(order)])
-            one, owner, bucket = order[start], p.owner[order], bucket[order[start]]
-            upto = np.append(start, len(order))
-            texts, trained = np.diff(upto), np.diff(np.append(0, np.cumsum(p.trained[order]))[upto])
+            near = (bucket << np.uint64(42)) + (np.minimum(p.words[1][one], (1 << 21) - 1).astype(np.uint64) << np.uint64(21))
+            near += np.minimum(p.words[min(2, max_order)][one], (1 << 21) - 1)
+            rank = np.argsort(near)
+            texts, start = np.diff(np.append(start, len(order)))[rank], start[rank]
+            one, bucket, upto = one[rank], bucket[rank], np.append(0, np.cumsum(texts))
+            order = order[np.repeat(start - upto[:-1], texts) + np.arange(len(order))]
+            owner = p.owner[order]
+            trained = np.diff(np.append(0, np.cumsum(p.trained[order]))[upto])
             if not len(one):
                 continue
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(one)]
@@ -387,12 +447,12 @@ def gains(
         key = longer(context, h[0][at])
         may = np.flatnonzero(last[at] & ~is_hot)
         may = may[often(key[may], trained[at[may]])]
-        _, one, alike = np.unique(key[may], return_index=True, return_inverse=True)
+        _, one, alike = different(key[may])
         times = np.bincount(alike, trained[at[may]], len(one))
         n[may] = times[alike]
         # Sums over the explicit next symbols of each context that has any.
         twice, times = may[one[times > 1]], times[times > 1]
-        contexts, mine = np.unique(context[twice], return_inverse=True)
+        contexts, _, mine = different(context[twice])
         hit, of = found_at(contexts, context)
         hit &= ~is_hot
         of = of[hit]
