@@ -417,3 +417,73 @@ def test_the_query_takes_shortest_paths(spark, monkeypatch):
     use = piece_transducer.Encoder(open(vocabulary("piece_bpe_32k.model"), "rb").read())
     columns = list(use.digests(pa.array(["unseen words here", "", "and  more\nlines"])))[0]
     assert calls and [int(x) for x in columns[0]] == [len(use.encode(t)[0]) for t in ("unseen words here", "", "and  more\nlines")]
+
+
+def rows_of_joins(spark, after=-1):
+    """Rows that joins made in executions after this one, and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows, found = 0, store.executionsList()
+    ids = [e for e in (found.apply(i).executionId() for i in range(found.size())) if e > after]
+    for e in ids:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            told = [values.get(m.accumulatorId()) for m in metrics if "Join" in node.name() and m.name() == "number of output rows"]
+            rows += sum(int(x.get().replace(",", "")) for x in told if x.isDefined())
+    return rows, max([after, *ids])
+
+
+def test_rows_joined_for_the_tree_grow_with_the_input_as_contexts_become_hot(spark):
+    pick = random.Random(39)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join([*pick.choices(words, k=60), f"rare{pick.randrange(200)}", f"rare{pick.randrange(200)}"]) for _ in range(750)]
+    _, last = rows_of_joins(spark)
+    made = []
+    for n in (150, 750):  # 120 and 600 times each word: one is below 250, the other is not
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string").repartition(2)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_whole.whole_score(docs, suffix_tree_lm.every_fifth(), bucket=1000, common=0.001).collect()}
+        assert len(got) == n
+        rows, last = rows_of_joins(spark, last)
+        made.append(rows)
+    assert 0 < made[1] <= 6 * made[0]
+
+
+def test_sequences_of_hot_words_in_a_row_are_counted(spark):
+    pick = np.random.default_rng(41)
+    codes = pick.integers(1, 9, 4000).astype(np.uint32)
+    hot = np.isin(np.arange(6), [2, 3, 4])  # 5 and up are rare; 1 ends a text
+    for length, (keys, n) in enumerate(suffix_tree_whole.hot_runs(codes, hot, 4), 2):
+        rows = [tuple(codes[i : i + length].tolist()) for i in range(len(codes) - length + 1)]
+        expected = Counter(r for r in rows if {*r} <= {2, 3, 4})
+        some = list(expected)
+        hashes = suffix_tree_whole.sequence([np.array([r[length - 1 - k] for r in some]) for k in range(length)], length - 1)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == dict(zip(hashes.tolist(), expected.values(), strict=True))
+    assert all(not len(keys) for keys, _ in suffix_tree_whole.hot_runs(codes[:0], hot, 3))
+
+
+def test_hot_contexts_of_any_length_are_counted_in_blocks(spark):
+    """Four words of context: of one to three words, contexts are hot."""
+    pick = random.Random(43)
+    habit = {w: pick.choices("abcd", k=2) for w in itertools.product("abcd", repeat=3)}
+    texts = []
+    for _ in range(250):
+        words = pick.choices("abcd", k=3)
+        for _ in range(pick.randint(0, 50)):
+            words += [pick.choice(habit[tuple(words[-3:])])] if pick.random() < 0.85 else [f"rare{pick.randrange(40)}", *pick.choices("abcd", k=3)]
+        texts.append(" ".join(words))
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for order in (1, 2, 4):
+        expected, _ = plain_tree_scores(texts, held, min_context=0, min_next=0, min_joint=0, max_order=order)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_whole.whole_score(docs, suffix_tree_lm.every_fifth(), max_order=order, bucket=400).collect()}
+        assert len(got) == len(texts) and all(abs(got[i] - e) < 1e-6 * max(1, abs(e)) for i, e in enumerate(expected))
+
+
+def test_blocks_come_back_as_they_were():
+    pick = np.random.default_rng(45)
+    arrays = [pick.integers(0, 200, 1000).astype(t) for t in (np.uint8, np.uint16, np.uint32, np.int64, np.uint64)] + [pick.random(7), np.zeros(0, np.int64)]
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, suffix_tree_whole.unpacked(suffix_tree_whole.packed(*arrays)), strict=True))
+    for top, kind in ((0, np.uint8), (255, np.uint8), (256, np.uint16), (1 << 16, np.uint32), (1 << 32, np.uint64)):
+        assert suffix_tree_whole.smallest(np.array([0, top])).dtype == kind
+    assert len(suffix_tree_whole.smallest(np.zeros(0, np.int64))) == 0
